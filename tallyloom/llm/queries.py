@@ -21,8 +21,20 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack_sequences(read(spark, sf_dir, "documents")))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import secrets
+
+    return secrets.digests(secrets.scan(read(spark, sf_dir, "documents")))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import mixing
+
+    return mixing.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_media": op3_media, "op5_packing": op5_packing}
+    return {"op2_secrets": op2_secrets, "op3_media": op3_media, "op5_packing": op5_packing, "op7_mixing": op7_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
