@@ -5,10 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyloom.llm.common import read
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import html
+
+    return html.extract(read(spark, sf_dir, "pages"))
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import secrets
+
+    return secrets.digests(secrets.scan(read(spark, sf_dir, "documents")))
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm import media
 
@@ -21,10 +34,18 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack_sequences(read(spark, sf_dir, "documents")))
 
 
-def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tallyloom.llm import secrets
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import toxicity
 
-    return secrets.digests(secrets.scan(read(spark, sf_dir, "documents")))
+    docs = read(spark, sf_dir, "documents")
+    index = toxicity.fit(docs, read(spark, sf_dir, "labels"), ~toxicity.held_out(F.col("doc_id")))
+    return toxicity.score(docs, index).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
+
+
+def op6_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import search
+
+    return search.search(read(spark, sf_dir, "embeddings"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,8 +55,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_secrets": op2_secrets, "op3_media": op3_media, "op5_packing": op5_packing, "op7_mixing": op7_mixing}
+    return {f.__name__: f for f in (op1_html, op2_secrets, op3_media, op4_toxicity, op5_packing, op6_search, op7_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tallyloom.llm import search
+
+    return {"op6_search": search.ORACLE}
