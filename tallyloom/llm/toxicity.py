@@ -1,8 +1,10 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max
 inverted index, distance-weighted votes, calibrated on the examples themselves.
 
-Terms are a text's words and their heads of 4 to 6 letters; those that tell the two
-classes apart on the examples (chi-square) make up the vectors. The index holds a bounded,
+Terms are a text's words and their heads of 4 to 7 letters; those that tell the two
+classes apart on the examples (chi-square) make up the vectors, with the root of their
+share of the text's words for frequency, and one more term stands for all the other
+words, so that a cue counts for less in a longer text. The index holds a bounded,
 documented sample of the labelled rows (EXAMPLES of each class, by a hash of doc_id), so
 it can be sent to every executor; every document is scored in one pass without a shuffle.
 
@@ -29,7 +31,8 @@ from tallyloom.llm.common import held
 
 #: Labelled rows of each class in the sample, terms in the index, least chi-square of a term, neighbours that vote, documents in a block of the index.
 EXAMPLES, TERMS, LEAST_CHI, NEIGHBOURS, BLOCK = 2000, 4096, 30.0, 15, 32
-THRESHOLD, HEADS = 0.3, (4, 5, 6)
+#: Weight of the term for all other words; least score of a toxic text; letters of a head; least examples of a term.
+OTHERS, THRESHOLD, HEADS, LEAST_TEXTS = 0.4, 0.3, (4, 5, 6, 7), 4
 _LETTERS = re.compile(r"[^\W\d_]+").findall
 
 
@@ -42,8 +45,14 @@ def terms_of(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in HEADS if len(word) > n)]
 
 
-def counted(text: str | None, vocabulary: dict[str, int] | None = None) -> dict:
-    """How often each term occurs in a whole text: all terms, or those of a vocabulary by number."""
+def beginnings(vocabulary: dict[str, int]) -> frozenset[str]:
+    """First letters of all terms: a word that begins otherwise has none of them."""
+    return frozenset(t[: HEADS[0]].rstrip("*") for t in vocabulary)
+
+
+def counted(text: str | None, vocabulary: dict[str, int] | None = None, begin: frozenset[str] = frozenset()) -> dict:
+    """How often each term occurs in a whole text: all terms, or those of a vocabulary by
+    number, and then all words under -1 if there is any of them."""
     words = _LETTERS((text or "").lower())
     out: dict = {}
     if vocabulary is None:
@@ -51,12 +60,13 @@ def counted(text: str | None, vocabulary: dict[str, int] | None = None) -> dict:
             for t in terms_of(word):
                 out[t] = out.get(t, 0) + n
         return out
-    known = [(w, ts) for w in set(words) if (ts := [vocabulary[t] for t in terms_of(w) if t in vocabulary])]
+    known = [(w, ts) for w in set(words) if w[: HEADS[0]] in begin and (ts := [vocabulary[t] for t in terms_of(w) if t in vocabulary])]
     if known:
         often = Counter(words)
         for w, ts in known:
             for t in ts:
                 out[t] = out.get(t, 0) + often[w]
+        out[-1] = len(words)
     return out
 
 
@@ -76,10 +86,10 @@ class Index:
     curve: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.zeros(1))
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.array(sorted(counts), np.int64)
-        w = (1 + np.log([counts[i] for i in t.tolist()])) * self.idf[t]
-        n = math.sqrt(float((w * w).sum()))
-        return t, (w / n if n else w)
+        """Terms and weights of length 1; the last term is the one for other words."""
+        t = np.array([*sorted(i for i in counts if i >= 0), len(self.vocabulary)], np.int64)
+        w = np.sqrt([counts[i] / counts[-1] for i in t[:-1].tolist()] + [1.0]) * self.idf[t]
+        return t, w / math.sqrt(float((w * w).sum()))
 
     def add(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
         rows = [[] for _ in self.idf]
@@ -183,13 +193,14 @@ def fit(docs: DataFrame, labels: DataFrame, teaches: Column, examples: int = EXA
     per = each.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b"))
     a, b, c, d = F.col("a"), F.col("b"), n1 - F.col("a"), n0 - F.col("b")
     chi = (n1 + n0) * (a * d - b * c) * (a * d - b * c) / ((a + b) * (c + d) * n1 * n0)
-    best = per.withColumn("chi", chi).filter(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "term").limit(TERMS).select("term").collect()
+    best = per.withColumn("chi", chi).filter((F.col("chi") >= LEAST_CHI) & (F.col("a") + F.col("b") >= LEAST_TEXTS)).orderBy(F.desc("chi"), "term").limit(TERMS).select("term").collect()
     vocabulary = {r["term"]: i for i, r in enumerate(best)}
+    begin = beginnings(vocabulary)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in held(batch, "text"):
-                rows = [counted(t, vocabulary) for t in part.column("text").to_pylist()]
+                rows = [counted(t, vocabulary, begin) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array([list(r) for r in rows], pa.list_(pa.int32())), pa.array([list(r.values()) for r in rows], pa.list_(pa.int32()))], names=["doc_id", "toxic", "t", "n"])
 
     rows = texts.mapInArrow(vectors, "doc_id long, toxic int, t array<int>, n array<int>").collect()
@@ -201,21 +212,22 @@ def fit(docs: DataFrame, labels: DataFrame, teaches: Column, examples: int = EXA
     weight = np.where(toxic == 1, share / max(1, (toxic == 1).sum()), (1 - share) / max(1, (toxic == 0).sum()))
     frequency = np.zeros(len(vocabulary))
     for (_, _, t, _), w in zip(rows, weight, strict=True):
-        frequency[list(t)] += w
-    index = Index(vocabulary, np.log(1 + 1 / np.maximum(frequency, 1e-9)), np.array([r[0] for r in rows]), toxic, share)
+        frequency[[i for i in t if i >= 0]] += w
+    index = Index(vocabulary, np.append(np.log(1 + 1 / np.maximum(frequency, 1e-9)), OTHERS), np.array([r[0] for r in rows]), toxic, share)
     every = [index.vector(dict(zip(r[2], r[3], strict=True))) for r in rows]
     index.add(every)
-    near = [index.nearest(t, w, but=i) for i, (t, w) in enumerate(every)]
-    some = np.array([bool(x) for x in near])
+    some = np.array([len(t) > 1 for t, _ in every])
+    near = [index.nearest(t, w, but=i) if len(t) > 1 else [] for i, (t, w) in enumerate(every)]
     bare = weight[~some]
     index.bare = float((bare * toxic[~some]).sum() / bare.sum()) if len(bare) else 0.0
     if some.any():
-        index.curve = _calibrated(np.array([index.vote(x) for x in near if x]), toxic[some], weight[some])
+        index.curve = _calibrated(np.array([index.vote(x) for x, y in zip(near, some, strict=True) if y]), toxic[some], weight[some])
     return index
 
 
 def score(docs: DataFrame, index: Index) -> DataFrame:
     """doc_id, score, predicted and evidence (nearest examples with similarity and label)."""
+    begin = beginnings(index.vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple, tuple[float, str]] = {}
@@ -223,7 +235,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
             for part in held(batch, "text"):
                 out = []
                 for text in part.column("text").to_pylist():
-                    counts = counted(text, index.vocabulary)
+                    counts = counted(text, index.vocabulary, begin)
                     key = tuple(sorted(counts.items()))
                     if key not in known:
                         if len(known) > 20_000:
@@ -239,10 +251,11 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
 
 def without_toxic(docs: DataFrame, index: Index) -> DataFrame:
     """The rows of docs, all columns, whose score stays under the threshold."""
+    begin = beginnings(index.vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in held(batch, "text"):
-                yield part.filter(pa.array([index.score(counted(t, index.vocabulary))[0] < THRESHOLD for t in part.column("text").to_pylist()], pa.bool_()))
+                yield part.filter(pa.array([index.score(counted(t, index.vocabulary, begin))[0] < THRESHOLD for t in part.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
