@@ -163,3 +163,41 @@ def windows(h: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     row = np.repeat(np.arange(len(rows) - 1, dtype=np.int32), np.diff(rows))
     at = np.flatnonzero(row[:n] == row[k - 1 :])
     return mix(out[at]), at
+
+
+def pack_uints(x: np.ndarray) -> bytes:
+    """Unsigned integers in as many bytes each as the largest needs; the first byte says how many."""
+    x = np.ascontiguousarray(x, np.uint64)
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + x.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpack_uints(raw: bytes) -> np.ndarray:
+    width = raw[0]
+    out = np.zeros(((len(raw) - 1) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, width)
+    return out.view(np.uint64).ravel()
+
+
+def pack_sorted(x: np.ndarray) -> bytes:
+    """Rising unsigned integers as differences: random hashes that share their first bits need a few bytes less."""
+    x = np.ascontiguousarray(x, np.uint64)
+    return pack_uints(np.diff(x, prepend=np.uint64(0)))
+
+
+def unpack_sorted(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpack_uints(raw), dtype=np.uint64)
+
+
+def block_of(bounds: list[int], column: str = "doc_id"):
+    """How many of the sorted bounds a column's value reaches, in two steps of about sqrt(n) comparisons."""
+    step = max(1, int(len(bounds) ** 0.5))
+    coarse = bounds[step - 1 :: step]
+    fine = [bounds[i : i + step] for i in range(0, len(bounds), step)] or [[]]
+    if not bounds:
+        return F.lit(0)
+    at = F.size(F.filter(F.lit(coarse), lambda b: b <= F.col(column)))
+    if len(bounds) % step == 0:
+        fine.append([])
+    inner = F.array(*[F.lit(x).cast("array<bigint>") if x else F.expr("cast(array() as array<bigint>)") for x in fine])
+    return at * step + F.size(F.filter(F.get(inner, at), lambda b: b <= F.col(column)))

@@ -54,8 +54,14 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import substrings
+
+    return substrings.digests(substrings.remove_repeats(read(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html, op2_secrets, op3_media, op4_toxicity, op5_packing, op6_search, op7_mixing)}
+    return {f.__name__: f for f in (op1_html, op2_secrets, op3_media, op4_toxicity, op5_packing, op6_search, op7_mixing, op9_substrings)}
 
 
 def oracle_sql() -> dict[str, str]:
