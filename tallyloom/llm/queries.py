@@ -54,6 +54,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import scoring
+
+    return scoring.score(read(spark, sf_dir, "documents"), ~scoring.held_out(F.col("doc_id")))
+
+
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm import substrings
 
@@ -61,7 +67,7 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html, op2_secrets, op3_media, op4_toxicity, op5_packing, op6_search, op7_mixing, op9_substrings)}
+    return {f.__name__: f for f in (op1_html, op2_secrets, op3_media, op4_toxicity, op5_packing, op6_search, op7_mixing, op8_scoring, op9_substrings)}
 
 
 def oracle_sql() -> dict[str, str]:
