@@ -66,8 +66,15 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(substrings.remove_repeats(read(spark, sf_dir, "documents")))
 
 
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import neardup
+
+    found = neardup.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html, op2_secrets, op3_media, op4_toxicity, op5_packing, op6_search, op7_mixing, op8_scoring, op9_substrings)}
+    return {f.__name__: f for f in (op1_html, op2_secrets, op3_media, op4_toxicity, op5_packing, op6_search, op7_mixing, op8_scoring, op9_substrings, op10_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
