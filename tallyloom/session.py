@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-#: UTC and no time zones, so that dates and seconds mean the same in every engine; plans adapt at run time.
+#: UTC, so that dates and seconds mean the same in every engine; plans adapt at run time.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
-    "spark.sql.timestampType": "TIMESTAMP_NTZ",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.ansi.enabled": "true",
