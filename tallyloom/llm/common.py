@@ -201,3 +201,11 @@ def block_of(bounds: list[int], column: str = "doc_id"):
         fine.append([])
     inner = F.array(*[F.lit(x).cast("array<bigint>") if x else F.expr("cast(array() as array<bigint>)") for x in fine])
     return at * step + F.size(F.filter(F.get(inner, at), lambda b: b <= F.col(column)))
+
+
+def runs(x: np.ndarray) -> list[tuple[int, int]]:
+    """Where each run of equal values begins and ends."""
+    if not len(x):
+        return []
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])).tolist()
+    return list(zip(first, [*first[1:], len(x)], strict=True))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import WordHasher, cut, free_shuffles, held, joined, pack_sorted, pack_uints, text_bytes, unpack_sorted, unpack_uints
+from tallyloom.llm.common import WordHasher, cut, free_shuffles, held, joined, pack_sorted, pack_uints, runs, text_bytes, unpack_sorted, unpack_uints
 
 #: Symbols of the longest context; bytes of text in a block, and for a bucket of counts.
 ORDER, BLOCK_BYTES, BUCKET_BYTES = 5, 24 << 20, 16 << 20
@@ -93,8 +93,7 @@ _SENT = "kind int, bucket int, block int, keys binary, counts binary"
 def _rows(kind: int, block: int, bucket: np.ndarray, keys: np.ndarray, counts: np.ndarray):
     order = np.argsort(bucket, kind="stable")
     bucket, keys, counts = bucket[order], keys[order], counts[order]
-    first = np.flatnonzero(np.diff(bucket, prepend=-1))
-    for at, to in zip(first, [*first[1:], len(bucket)], strict=True):
+    for at, to in runs(bucket):
         yield kind, int(bucket[at]), block, pack_sorted(keys[at:to].astype(np.uint64)), pack_uints(counts[at:to].astype(np.uint64))
 
 

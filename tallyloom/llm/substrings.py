@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import WordHasher, block_of, held, joined, pack_sorted, text_bytes, unpack_sorted, windows
+from tallyloom.llm.common import WordHasher, block_of, held, joined, pack_sorted, runs, text_bytes, unpack_sorted, windows
 
 #: Words of an edge; bytes of text in a block on average; edges in a bucket on average, at six bytes of text an edge.
 K, BLOCK_BYTES, BUCKET_EDGES = 13, 6 << 20, 1 << 20
@@ -47,8 +47,7 @@ def _sender(k: int, bits: int) -> Callable[[tuple, pa.Table], pa.Table]:
             found = [np.unique(e) for _, _, e, _ in _edges(table, hasher, k)]
             every = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
             bucket = (every >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(every), np.int64)
-            first = np.flatnonzero(np.diff(bucket, prepend=-1))
-            for at, to in zip(first, [*first[1:], len(every)], strict=True):
+            for at, to in runs(bucket):
                 out["bucket"].append(int(bucket[at]))
                 out["block"].append(block)
                 out["edges"].append(pack_sorted(every[at:to]))
@@ -60,17 +59,16 @@ def _sender(k: int, bits: int) -> Callable[[tuple, pa.Table], pa.Table]:
 def _later(key: tuple, table: pa.Table) -> pa.Table:
     """Of one bucket's edges, those that a block shares with an earlier one, for each such block."""
     rows = sorted(zip(table["block"].to_pylist(), table["edges"].to_pylist(), strict=True))
-    runs = [unpack_sorted(x) for _, x in rows]
-    edges = np.concatenate(runs)
-    blocks = np.repeat([b for b, _ in rows], [len(x) for x in runs])
+    parts = [unpack_sorted(x) for _, x in rows]
+    edges = np.concatenate(parts)
+    blocks = np.repeat([b for b, _ in rows], [len(x) for x in parts])
     order = np.argsort(edges, kind="stable")
     edges, blocks = edges[order], blocks[order]
     again = np.flatnonzero(edges[1:] == edges[:-1]) + 1
     edges, blocks = edges[again], blocks[again]
     order = np.argsort(blocks, kind="stable")
     edges, blocks = edges[order], blocks[order]
-    first = np.flatnonzero(np.diff(blocks, prepend=-1))
-    out = [(int(blocks[at]), pack_sorted(edges[at:to])) for at, to in zip(first, [*first[1:], len(edges)], strict=True)]
+    out = [(int(blocks[at]), pack_sorted(edges[at:to])) for at, to in runs(blocks)]
     return pa.table({"block": pa.array([x[0] for x in out], pa.int32()), "edges": pa.array([x[1] for x in out], pa.binary())})
 
 
@@ -81,8 +79,8 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 def _remover(k: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
         hasher = WordHasher(lower=False)
-        runs = [unpack_sorted(x) for x in answers["edges"].to_pylist()]
-        known = np.sort(np.concatenate(runs)) if runs else np.zeros(0, np.uint64)
+        later = [unpack_sorted(x) for x in answers["edges"].to_pylist()]
+        known = np.sort(np.concatenate(later)) if later else np.zeros(0, np.uint64)
         docs = docs.sort_by("doc_id")
         compare = key[0].as_py() is not None and key[0].as_py() >= 0
         parts = list(_edges(docs, hasher, k)) if docs.num_rows else []
