@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql.window import Window as W
 
 from tallyloom.operators import relational as R
 from tallyloom.sources.tables import query as bound
-from tallyloom.sources.tables import register, table
+from tallyloom.sources.tables import register, table, work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -437,6 +438,135 @@ def recompute_difference(spark, sf):
     return R.difference(li.groupBy("dt").agg(F.count(F.lit(1)).alias("n")), li.groupBy("dt").agg(F.countDistinct("l_orderkey", "l_linenumber").alias("n")), ["dt"], ["n"])
 
 
+# --- the example project, the simulated warehouse, and definitions read from plans
+
+
+def _quickstart(spark: SparkSession) -> None:
+    from tallyloom.warehouse import models
+
+    root = Path(__file__).resolve().parent.parent / "examples" / "quickstart" / "seeds"
+    # small files beside the code: the driver reads them, so that executors need not have the folder
+    seeds = {}
+    for name, ddl in models.QUICKSTART_SOURCES.items():
+        _, *lines = (root / f"{name}.csv").read_text().splitlines()
+        seeds[name] = spark.createDataFrame([(x,) for x in lines], "value string").select(F.from_csv("value", F.lit(ddl)).alias("r")).select("r.*")
+    models.build(spark, seeds, models.QUICKSTART)
+
+
+@define("""SELECT * FROM (VALUES (DATE '2026-08-01', 393.0::DOUBLE, 393.0::DOUBLE / 10000), (DATE '2026-08-02', 700.0::DOUBLE, 700.0::DOUBLE / 5500), (DATE '2026-08-03', 0.0::DOUBLE, 0.0::DOUBLE))
+t(stat_date, refund_amt_14d, refund_rate)""")
+def quickstart_refund_rate(spark, sf):
+    _quickstart(spark)
+    return spark.table("dm_refund_rate_1d")
+
+
+@define("SELECT * FROM (VALUES (DATE '2026-08-01', 10000.0::DOUBLE, 3::BIGINT), (DATE '2026-08-02', 5500.0::DOUBLE, 3), (DATE '2026-08-03', 2150.0::DOUBLE, 2)) t(stat_date, gmv, order_cnt)")
+def quickstart_sales(spark, sf):
+    _quickstart(spark)
+    return spark.table("dm_sales_1d")
+
+
+def _warehouse(spark: SparkSession) -> None:
+    from tallyloom.warehouse import models, simulate
+
+    models.build(spark, simulate.simulate(spark), models.MODELS, work_folder(spark))
+
+
+@define("SELECT 'T' || i AS trap, true AS ok FROM range(1, 15) t(i)")
+def warehouse_traps(spark, sf):
+    from tallyloom.warehouse import checks
+
+    _warehouse(spark)
+    return checks.traps(spark).select("trap", "ok")
+
+
+@define("SELECT 'x' AS metric WHERE false")
+def warehouse_recomputation(spark, sf):
+    from tallyloom.warehouse import checks
+
+    _warehouse(spark)
+    return checks.recomputation(spark).select("metric")
+
+
+def _graph(spark: SparkSession, which: str = "quickstart"):
+    from tallyloom.plans.lineage import build_graph
+    from tallyloom.warehouse import models
+
+    # a session of its own: empty views of the models must not hide the tables of this one
+    own = spark.newSession()
+    return build_graph(own, *((models.QUICKSTART, models.QUICKSTART_SOURCES) if which == "quickstart" else (models.MODELS, models.SOURCES)))
+
+
+#: The example's column edges.
+EDGES = [
+    *[("stg_orders", c, "raw_orders", c) for c in ("order_id", "user_id", "amount", "status", "paid_at")],
+    *[("stg_refunds", c, "raw_refunds", c) for c in ("refund_id", "order_id", "refund_amount", "refunded_at")],
+    ("dm_sales_1d", "stat_date", "stg_orders", "paid_at"), ("dm_sales_1d", "gmv", "stg_orders", "amount"), ("dm_sales_1d", "order_cnt", "stg_orders", "order_id"),
+    ("dm_refund_rate_1d", "stat_date", "stg_orders", "paid_at"), ("dm_refund_rate_1d", "refund_amt_14d", "stg_refunds", "refund_amount"),
+    ("dm_refund_rate_1d", "refund_rate", "stg_orders", "amount"), ("dm_refund_rate_1d", "refund_rate", "stg_refunds", "refund_amount"),
+]
+_EDGES_SQL = "(VALUES " + ", ".join(str(e) for e in EDGES) + ') e(model, "column", up_model, up_column)'
+
+
+@define(f"SELECT * FROM {_EDGES_SQL}")
+def lineage_edges(spark, sf):
+    return _graph(spark).column_edges()
+
+
+@define(f"""WITH RECURSIVE e AS (SELECT * FROM {_EDGES_SQL}), c AS (
+SELECT model, "column", up_model, up_column, 1 AS hops FROM e UNION SELECT c.model, c."column", e.up_model, e.up_column, c.hops + 1 FROM c JOIN e ON c.up_model = e.model AND c.up_column = e."column")
+SELECT model, "column", up_model, up_column, CAST(min(hops) AS INTEGER) AS hops FROM c GROUP BY ALL""")
+def lineage_closure(spark, sf):
+    from tallyloom.plans.trace import closure
+
+    return closure(_graph(spark).column_edges())
+
+
+@define("""SELECT * FROM (VALUES ('stg_orders', 'where', 'is_test = 0', true), ('stg_refunds', 'qualify', 'rn = 1', true), ('dm_sales_1d', 'where', 'status = ''paid''', true),
+('dm_refund_rate_1d', 'join_on', 'order_id = order_id', false), ('dm_refund_rate_1d', 'where', 'status = ''paid''', true), ('dm_refund_rate_1d', 'where', 'refunded_at <= paid_at + interval ''14'' day', false),
+('dm_refund_rate_1d', 'join_on', 'order_id = order_id', false)) t(model, kind, norm, row_level)""")
+def lineage_conditions(spark, sf):
+    return _graph(spark).conditions().select("model", "kind", "norm", "row_level")
+
+
+@define("""SELECT * FROM (VALUES ('stg_refunds', 'window', 'rn'), ('dm_sales_1d', 'stat_date_key', 'stat_date'), ('dm_refund_rate_1d', 'coalesce', 'refund_amt_14d'),
+('dm_refund_rate_1d', 'coalesce', 'refund_rate'), ('dm_refund_rate_1d', 'stat_date_key', 'stat_date')) t(model, type, "column")""")
+def lineage_semantics(spark, sf):
+    return _graph(spark).semantics().select("model", "type", "column")
+
+
+@define("SELECT 'app_business_overview_1d.refund_amt_total' AS a, 'dm_trade_stats_1d.refund_amt' AS b, 'duplicate' AS tier")
+def governance_duplicates(spark, sf):
+    from tallyloom.plans import governance
+
+    g = _graph(spark, "warehouse")
+    return governance.pairs(governance.metric_rows(g, ("dt", "order_id", "user_id"), ("dm", "app"))).filter("tier = 'duplicate'").select("a", "b", "tier")
+
+
+@define("SELECT * FROM (VALUES ('rate', 'condition_added', 'high'), ('rate', 'condition_removed', 'high')) t(metric, kind, severity)")
+def drift_events(spark, sf):
+    import dataclasses
+
+    from tallyloom.plans import governance
+    from tallyloom.plans.lineage import build_graph
+    from tallyloom.warehouse import models
+
+    own, snaps = spark.newSession(), []
+    for days in ("14 day", "30 day"):
+        changed = [dataclasses.replace(m, sql=m.sql.replace("14 day", days)) for m in models.QUICKSTART]
+        snaps.append(governance.facts_of(own, governance.snapshot(build_graph(own, changed, models.QUICKSTART_SOURCES), {"rate": "dm_refund_rate_1d.refund_rate"})))
+    return governance.drift(*snaps).select("metric", "kind", "severity")
+
+
+@define("SELECT 170::BIGINT AS columns_n, 170::BIGINT AS proven")
+def formulas_proven(spark, sf):
+    from tallyloom.plans.formula import compose
+
+    g = _graph(spark, "warehouse")
+    found = [compose(g, f"{f.model}.{c}").status for f in g.facts.values() for c, _ in f.columns]
+    return g.spark.createDataFrame([(len(found), found.count("proven"))], "columns_n bigint, proven bigint")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

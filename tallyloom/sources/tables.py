@@ -58,3 +58,12 @@ def materialise(df: DataFrame, layer: str, name: str) -> DataFrame:
     spark.sql(f"create schema if not exists `{layer}`")
     df.write.mode("overwrite").saveAsTable(f"`{layer}`.`{name}`")
     return spark.table(f"`{layer}`.`{name}`")
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, under spark.checkpoint.dir; a temporary one where that is unset."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{base.rstrip('/')}/tallyloom-{uuid.uuid4().hex}" if base else "file://" + tempfile.mkdtemp(prefix="tallyloom-")
