@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm.common import held
 
 #: Labelled rows of each class in the sample, terms in the index, least chi-square of a term, neighbours that vote, documents in a block of the index.
-EXAMPLES, TERMS, LEAST_CHI, NEIGHBOURS, BLOCK = 2000, 4096, 30.0, 15, 32
+EXAMPLES, TERMS, LEAST_CHI, NEIGHBOURS, BLOCK = 2000, 1024, 30.0, 15, 32
 #: Weight of the term for all other words; least score of a toxic text; letters of a head; least examples of a term.
 OTHERS, THRESHOLD, HEADS, LEAST_TEXTS = 0.4, 0.3, (4, 5, 6, 7), 4
 _LETTERS = re.compile(r"[^\W\d_]+").findall
@@ -82,6 +82,7 @@ class Index:
     share: float  # of toxic documents among the labelled ones
     postings: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     tops: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    inside = np.arange(BLOCK)
     bare: float = 0.0  # score of a text without terms
     curve: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.zeros(1))
 
@@ -109,24 +110,25 @@ class Index:
         bounds = w @ self.tops[t]
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
-        dense = np.zeros(len(self.ids))
-        best: list[tuple[float, int]] = []
-        # blocks in growing groups, so that one pass over the postings serves many of them
-        opened, group = 0, 2 * k
-        spots = [(at, q * x) for (at, x), q in zip((self.postings[i] for i in t.tolist()), w.tolist(), strict=True)]
-        for at, x in spots:
-            dense[at] += x
-        dense = np.round(dense, 12)
-        while opened < len(order):
-            if len(best) >= k and bounds[order[opened]] < best[k - 1][0] - 1e-9:
-                break
-            for b in order[opened : opened + group].tolist():
-                part = dense[b * BLOCK : (b + 1) * BLOCK]
-                best += [(float(part[j]), b * BLOCK + int(j)) for j in np.flatnonzero(part) if b * BLOCK + int(j) != but]
-            best.sort(key=lambda x: (-x[0], x[1]))
-            del best[k:]
-            opened, group = opened + group, group * 2
-        return best
+        dense = np.zeros(len(self.tops[0]) * BLOCK)
+        for i, q in zip(t.tolist(), w.tolist(), strict=True):
+            at, x = self.postings[i]
+            dense[at] += q * x
+        if but >= 0:
+            dense[but] = 0
+        best, scores = np.zeros(0, np.int64), np.zeros(0)
+        opened, group = 0, 8
+        while opened < len(order) and not (len(best) >= k and bounds[order[opened]] < scores[k - 1] - 1e-9):
+            rows = (order[opened : opened + group, None] * BLOCK + self.inside).ravel()
+            best = np.concatenate([best, rows[dense[rows] > 0]])
+            scores = np.round(dense[best], 12)
+            if len(best) > k:  # no row under the kth best value can stay
+                keep = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+                best, scores = best[keep], scores[keep]
+            first = np.lexsort((best, -scores))[:k]
+            best, scores = best[first], scores[first]
+            opened, group = opened + group, group * 4
+        return list(zip(scores.tolist(), best.tolist(), strict=True))
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Share of toxic votes: nearer examples weigh more, and the sample's classes as in the labelled rows."""
