@@ -115,11 +115,12 @@ def mix_sources(docs: DataFrame, seed: int = 20240229, block: int = BLOCK, shard
 def mixed_documents(docs: DataFrame, seed: int = 20240229, **settings) -> DataFrame:
     """The mix itself, in the columns of docs: a row for each pass over a document, the
     last one cut after the words that the mix takes; documents that it doesn't take go."""
-    plan = mix_sources(docs, seed, **settings).groupBy("doc_id", "place").agg(F.max("size").alias("size"), F.expr("sum(taken) div count(1)").alias("taken"))
-    plan = plan.filter("taken > 0").select(F.col("doc_id").alias("_id"), F.col("place").alias("_place"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    plan = mix_sources(docs, seed, **settings).groupBy("doc_id", "place").agg(F.max("size").alias("size"), F.expr("sum(taken) div count(1)").alias("taken")).filter("taken > 0")
     key = F.xxhash64(F.lit(seed + 1), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit("")))
-    rows = docs.withColumn("_key", key).join(plan, (F.col("_key") == F.col("_place")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    rows = rows.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))))
-    left = F.col("_taken") - (F.col("_pass") - 1) * F.col("_size")
-    head = F.concat_ws(" ", F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), left.cast("int")))
-    return rows.withColumn("text", F.when(left < F.col("_size"), head).otherwise(F.col("text"))).select(*docs.columns)
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), key.alias("key"), F.struct(*[F.col(c) for c in docs.columns]).alias("own"))
+    rows = rows.join(plan, (F.col("key") == F.col("place")) & F.col("id").eqNullSafe(F.col("doc_id")))
+    rows = rows.withColumn("nth", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
+    left = F.col("taken") - (F.col("nth") - 1) * F.col("size")
+    head = F.concat_ws(" ", F.slice(F.regexp_extract_all("own.text", F.lit(WORD), F.lit(0)), F.lit(1), left.cast("int")))
+    text = F.when(left < F.col("size"), head).otherwise(F.col("own.text"))
+    return rows.select(*[(text if c == "text" else F.col("own")[c]).alias(c) for c in docs.columns])

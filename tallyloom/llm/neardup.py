@@ -277,12 +277,13 @@ def kept_documents(docs: DataFrame, **settings) -> DataFrame:
     """The rows of docs, all columns, less those whose component has a smaller doc_id; of
     rows with equal doc_id and text one stays. Rows without words stay all."""
     marks = near_duplicates(docs, **settings).filter("class_key is not null and doc_id is not null")
-    gone = marks.groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count(F.lit(1)).alias("rows"))
-    several = gone.filter((F.col("least") < F.col("doc_id")) | (F.col("rows") > 1))
-    one = docs.join(several.select(F.col("doc_id").alias("_id"), "least", "rows"), F.col("doc_id").cast("long") == F.col("_id"), "left")
-    clean = one.filter(F.col("_id").isNull()).select(*docs.columns)
-    same = one.filter(F.col("_id").isNotNull() & (F.col("least") == F.col("_id"))).select(*docs.columns).dropDuplicates(["doc_id"])
-    return clean.unionByName(same)
+    gone = marks.groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    several = gone.filter((F.col("least") < F.col("doc_id")) | (F.col("copies") > 1)).withColumnRenamed("doc_id", "known")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*[F.col(c) for c in docs.columns]).alias("own"))
+    marked = rows.join(several, F.col("id") == F.col("known"), "left")
+    clean = marked.filter("known is null").select("own")
+    first = marked.filter("known is not null and least = known").dropDuplicates(["known"]).select("own")
+    return clean.unionByName(first).select("own.*")
 
 
 def brute_force(rows: list[tuple[int | None, str | None]], k: int = SHINGLE, least: int = LEAST) -> list[tuple[int | None, int, int | None]]:

@@ -194,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, teaches: Column, examples: int = EXA
     n1, n0 = (sum(y == k for _, y in picked) for k in (1, 0))
     per = each.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b"))
     a, b, c, d = F.col("a"), F.col("b"), n1 - F.col("a"), n0 - F.col("b")
-    chi = (n1 + n0) * (a * d - b * c) * (a * d - b * c) / ((a + b) * (c + d) * n1 * n0)
+    chi = (n1 + n0) * (a * d - b * c) * (a * d - b * c) / F.nullif((a + b) * (c + d) * n1 * n0, F.lit(0.0))
     best = per.withColumn("chi", chi).filter((F.col("chi") >= LEAST_CHI) & (F.col("a") + F.col("b") >= LEAST_TEXTS)).orderBy(F.desc("chi"), "term").limit(TERMS).select("term").collect()
     vocabulary = {r["term"]: i for i, r in enumerate(best)}
     begin = beginnings(vocabulary)
