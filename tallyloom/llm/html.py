@@ -195,7 +195,7 @@ class Field:
         return out[::-1][: len(rows)]
 
 
-def train(pages: list[tuple[list[list[str]], list[int]]], rounds: int = 150, rate: float = 0.3, ridge: float = 0.02) -> Field:
+def train(pages: list[tuple[list[list[str]], list[int]]], rounds: int = 250, rate: float = 0.2, ridge: float = 0.002) -> Field:
     """Maximum likelihood with a ridge, by gradient steps; the sums over label sequences
     (forward and backward) run over all pages at once."""
     pages = [p for p in pages if p[0]]
@@ -250,6 +250,8 @@ LAYOUTS = (
     '<body><header><h1>{x}</h1><p>{x}</p></header><div role="alert">{x}</div><article><h2>{a}</h2><div>{a}</div><div>{a}</div><pre>{a}</pre><figure><img><figcaption>{a}</figcaption></figure><section>[<p>{a}</p>]*</section></article><div class="widget"><h4>{x}</h4><p>{x}</p></div><nav>[<a href="#">{k}</a>]*</nav><footer>{x}</footer>',
     '<body><nav><ul>[<li><a href="#">{k}</a></li>]*</ul></nav><main><h1>{a}</h1>[<p>{a}</p>]*<section id="comments"><h3>{x}</h3><ol>[<li><p>{x}</p></li>]*</ol></section></main><aside><div class="sponsored">{x}</div>[<p>{x}</p>]*</aside><form><p>{x}</p><input><button>{k}</button></form><footer><nav>[<a href="#">{k}</a>]*</nav><p>{x}</p></footer>',
     '<body><div class="nav">[<a href="#">{k}</a> ]*</div><article><h1>{a}</h1><p><b>{a}<br>[<p>{a}</p>]*<p><b>{a}<br>[<p>{a}</p>]*</article><footer>&copy; {x} &middot; {x}</footer></body></html>',
+    '<body><article><h1>{a}</h1>[<p>{a}</p>]*<div class="ad">{x}</div>[<p>{a}</p>]*<div class="advert"><p>{x}</p></div><p>{a}</p><aside>{x}</aside><p>{a}</p><div class="social">{x}</div><p>{a}</p><form><label>{x}</label><button>{k}</button></form>[<p>{a}</p>]*<nav><a href="#">{k}</a></nav></article><section class="comments">[<p>{x}</p>]*</section><footer>{x}</footer>',
+    '<body><div class="menu">[<span>{x}</span>]*</div><main><div class="breadcrumb">{x}</div><h1>{a}</h1>[<p>{a}</p>]*<div class="notice">{x}</div>[<p>{a}</p>]*<div class="banner"><p>{x}</p></div><h2>{a}</h2>[<p>{a}</p>]*<div class="comment"><p>{x}</p></div></main><div id="sidebar"><p>{x}</p><p>{x}</p></div><footer><div>{x}</div></footer>',
     '<body><p class="notice">{x}</p><div class="ads">{x}</div><article><p>{a}</p>[<p>{a}</p>]*<p class="disclaimer">{x}</p><div class="popup"><p>{x}</p></div></article><div class="comments"><p>{x}</p>[<article class="comment"><p>{x}</p></article>]*</div><div class="sidebar"><ul>[<li>{x}</li>]*</ul></div>',
 )
 
