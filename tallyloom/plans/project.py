@@ -78,8 +78,8 @@ def to_spark(sql: str) -> str:
     sql = re.sub(r"\barg_min\(", "min_by(", sql, flags=re.I)
     sql = re.sub(r"\barg_max\(", "max_by(", sql, flags=re.I)
     sql = re.sub(r"\bepoch\(([\w.]+)\)", r"(unix_micros(cast(\1 as timestamp_ltz)) / 1e6)", sql, flags=re.I)
-    # three-part names of compiled models come down to the last part, which is the view's name
-    return re.sub(r'"?\b\w+"?\."?\w+"?\."?(\w+)"?(?!\s*\()', r"\1", sql.replace('"', "`")).replace("`.`", ".").replace("`", "")
+    # names with a database and schema come down to the last part, which is the view's name
+    return re.sub(r"\b(from|join)(\s+)(?:\w+\.){1,2}(\w+)", r"\1\2\3", sql.replace('"', ""), flags=re.I)
 
 
 @dataclass
@@ -169,7 +169,7 @@ RESERVED = {"index", "runs", "active_run"}
 
 def checked_config(raw: dict[str, Any]) -> dict[str, Any]:
     """Settings with their defaults; ValueError names the entry that is wrong."""
-    metrics, seen = raw.get("metrics") or [], set()
+    metrics, seen = raw.get("metrics", []), set()
     if not isinstance(metrics, list):
         raise ValueError("metrics is a list")
     for i, m in enumerate(metrics):
