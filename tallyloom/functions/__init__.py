@@ -1 +1 @@
-
+"""Scalar helpers."""

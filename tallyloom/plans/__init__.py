@@ -1 +1 @@
-
+"""Definitions read from Catalyst plans."""

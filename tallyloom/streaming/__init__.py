@@ -1 +1 @@
-
+"""Empty: the inventory has no streaming operator."""
