@@ -8,8 +8,8 @@ keep walking together. A node of at most LEAF members is compared exhaustively o
 full sets; a larger one branches again. Trees run in batches: from the second batch on, a
 small node whose members are all in one component already is not compared again.
 
-A leaf returns only the links that join its parts (a spanning forest of them), so a group
-of thousands of copies costs links in proportion to its members. Components come from the
+A leaf returns what its links connect as stars, so a group of thousands of copies costs
+rows in proportion to its members. Components come from the
 links by alternating large-star and small-star steps, all in DataFrames.
 
 Expected recall of a link at similarity s in a node path of d steps is 1 - (1 - s^d)^TREES
@@ -93,45 +93,43 @@ def _token(position: Column) -> Column:
 
 
 def _step(nodes: DataFrame, least: int, tokens: int) -> DataFrame:
-    """One step down: path, key, tokens. All members of a node take the same positions."""
+    """One step down: path, key, late, tokens. All members of a node take the same positions."""
     first = F.pmod(F.xxhash64("path", F.lit(1)), F.lit(tokens))
     second = F.pmod(F.xxhash64("path", F.lit(2)), F.lit(tokens))
     more = F.pmod(F.xxhash64("path", F.lit(3)), F.lit(least)) < 100 - least
     to = F.array(F.xxhash64("path", F.lit(1), _token(first)), F.xxhash64("path", F.lit(2), _token(second)))
-    return nodes.select("key", "tokens", F.explode(F.when(more, to).otherwise(F.slice(to, 1, 1))).alias("path"))
+    return nodes.select("key", "tokens", "late", F.explode(F.when(more, to).otherwise(F.slice(to, 1, 1))).alias("path"))
 
 
-def _leaf_rows(classes: DataFrame, trees: range, leaf: int, least: int, tokens: int, depth: int) -> DataFrame:
-    """path and key of the members of all leaves with at least two members."""
-    roots = F.array(*[F.xxhash64(F.lit(t), F.lit(7)) for t in trees])
-    live = classes.select("key", "tokens", F.explode(roots).alias("path"))
+def _leaf_rows(classes: DataFrame, trees: int, early: int, leaf: int, least: int, tokens: int, depth: int) -> DataFrame:
+    """path, key and late (whether the tree is of a later batch) of the members of all leaves with at least two members."""
+    roots = F.array(*[F.struct(F.xxhash64(F.lit(t), F.lit(7)).alias("path"), F.lit(t >= early).alias("late")) for t in range(trees)])
+    live = classes.select("key", "tokens", F.explode(roots).alias("root")).select("key", "tokens", "root.*")
     leaves, done = [], 0
     for steps in ROUNDS:
         for _ in range(steps):
             live = _step(live, least, tokens)
+        if not done:  # most nodes end here, with a member or a few: their rows go without their tokens
+            live = cut(live.select("path", "key", "late"))
         done += steps
-        if done == 1:
-            # Most nodes end here, with a member or a few: their rows go without their tokens.
-            paths = cut(live.select("path", "key"))
-        else:
-            live = cut(live)
-            paths = live.select("path", "key")
-        counts = paths.groupBy("path").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-        counted = cut(paths.join(counts, "path"))
-        leaves.append(counted.filter(F.col("members") <= leaf).select("path", "key"))
-        large = counted.filter(F.col("members") > leaf).select("path", "key")
-        if large.isEmpty():
+        counts = live.groupBy("path").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+        counted = cut(live.join(counts, "path"))
+        leaves.append(counted.filter(F.col("members") <= leaf).select("path", "key", "late"))
+        live = counted.filter(F.col("members") > leaf).drop("members")
+        if live.isEmpty():
             return _union(leaves)
-        live = large.distinct().join(classes.select("key", "tokens"), "key").select("key", "tokens", "path")
+        if "tokens" not in live.columns:
+            live = live.join(classes.select("key", "tokens"), "key")
         if done >= depth:
             break
     half = leaf // 4
-    order = W.partitionBy("path").orderBy(*[_token(F.lit(i)) for i in range(4)], "key")
-    placed = cut(live.select("path", "key", F.row_number().over(order).alias("nth"), F.row_number().over(W.partitionBy("path").orderBy("key")).alias("rank"), F.count(F.lit(1)).over(W.partitionBy("path")).alias("members")))
+    node = W.partitionBy("path")
+    order = node.orderBy(*[_token(F.lit(i)) for i in range(4)], "key")
+    placed = cut(live.select("path", "key", "late", F.row_number().over(order).alias("nth"), F.row_number().over(node.orderBy("key")).alias("rank"), F.count(F.lit(1)).over(node).alias("members")))
     part = F.floor((F.col("nth") - 1) / half)
     spread = placed.withColumn("part", F.explode(F.array(part, part + 1)))
     hubs = placed.filter(F.col("rank") <= half).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("members") - 1) / half) + 1)))
-    last = spread.unionByName(hubs).select(F.xxhash64("path", "part").alias("path"), "key").distinct()
+    last = spread.unionByName(hubs).select(F.xxhash64("path", "part").alias("path"), "key", "late").distinct()
     return _union([*leaves, cut(last)])
 
 
@@ -143,7 +141,8 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def links_in(keys: list[bytes], sets: list[np.ndarray], least: int) -> list[tuple[bytes, bytes]]:
-    """Exhaustive comparison of a leaf on its full sets; of all links, those that join two parts that no earlier one joined."""
+    """Exhaustive comparison of a leaf on its full sets. What the links connect comes back as
+    stars: each member with the smallest key that it reaches."""
     n = len(sets)
     sizes = np.array([len(x) for x in sets])
     every, back = np.unique(np.concatenate(sets), return_inverse=True)
@@ -172,16 +171,10 @@ def links_in(keys: list[bytes], sets: list[np.ndarray], least: int) -> list[tupl
             i = root[i]
         return i
 
-    out = []
     for a, b in zip(*np.nonzero(np.triu(alike, 1)), strict=True):
         x, y = find(int(a)), find(int(b))
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            out.append((keys[int(a)], keys[int(b)]))
-    return out
-
-
-_LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+        root[max(x, y)] = min(x, y)
+    return [(keys[find(i)], keys[i]) for i in range(n) if find(i) != i]
 
 
 def _comparer(least: int) -> Callable[[tuple, pa.Table], pa.Table]:
@@ -225,26 +218,28 @@ def _shingles(docs: DataFrame, signed: DataFrame, wanted: DataFrame, k: int) ->
     return some.mapInArrow(run, "key binary, shingles binary").join(wanted, "key", "left_semi").dropDuplicates(["key"])
 
 
-def components(links: DataFrame) -> DataFrame:
-    """key -> root (the smallest key of its component), for every key with a link, by
-    alternating large-star and small-star steps until no link changes."""
+def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """key -> root (the smallest key of its component), for every key but the roots, by
+    alternating large-star and small-star steps until no link changes. known: what an
+    earlier call returned, to go on from."""
+    if known is not None:
+        links = links.unionByName(known.select(F.col("key").alias("a"), F.col("root").alias("b")))
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # every larger neighbour hangs on the smallest one around
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         # every node and its smaller neighbours hang on the smallest of those
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        after = cut(small)
+        each = F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
+        after = cut(large.join(least, "u").select(each).select("e.*").filter("u != v").distinct())
         mark = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        drop_cut(edges)
         if before is not None and tuple(mark) == before:
             return after.select(F.col("u").alias("key"), F.col("v").alias("root"))
-        before = tuple(mark)
-        drop_cut(edges)
-        edges = after
+        before, edges = tuple(mark), after
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, least: int = LEAST, trees: int = TREES, batches: tuple[int, ...] = BATCHES, leaf: int = LEAF, tokens: int = TOKENS, depth: int = DEPTH) -> DataFrame:
@@ -252,20 +247,14 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, least: int = LEAST, trees
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = cut(rows.mapInArrow(_signer(k, tokens), "doc_id long, n long, key binary, tokens binary"))
     classes = cut(signed.filter("key is not null").groupBy("key").agg(F.first("tokens").alias("tokens"), F.min("doc_id").alias("least_id")))
-    total, at, leaves = sum(batches), 0, []
-    for size in batches:
-        span = range(at, at + max(1, round(size * trees / total)))
-        leaves.append(cut(_leaf_rows(classes, span, leaf, least, tokens, depth)))
-        at = span.stop
-    sets = cut(_shingles(docs, signed, cut(_union(leaves).select("key").distinct()), k))
+    early = max(1, round(batches[0] * trees / sum(batches)))
+    leaves = cut(_leaf_rows(classes, trees, early, leaf, least, tokens, depth))
+    sets = cut(_shingles(docs, signed, cut(leaves.select("key").distinct()), k))
     free_shuffles(docs.sparkSession)
-    links, found = _compared(leaves[0], sets, least), None
-    for more in leaves[1:]:
-        found = components(links)
-        known = more.join(found, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        open_ = known.groupBy("path").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("path")
-        links = links.unionByName(_compared(cut(more.join(open_, "path")), sets, least))
-    found = components(links)
+    found = components(_compared(leaves.filter("not late").select("path", "key"), sets, least))
+    known = leaves.filter("late").select("path", "key").join(found, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    open_ = known.groupBy("path").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("path")
+    found = components(_compared(cut(known.join(open_, "path").select("path", "key")), sets, least), found)
     named = signed.select("doc_id", "n", "key").join(found, "key", "left").withColumn("root", F.coalesce("root", "key"))
     # The component's smallest doc_id, from a row a class, so that a class of copies counts once.
     ids = classes.select("key", "least_id").join(found, "key", "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("least_id").alias("component"))
