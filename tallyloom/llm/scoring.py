@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm.common import WordHasher, cut, free_shuffles, held, joined, pack_sorted, pack_uints, runs, text_bytes, unpack_sorted, unpack_uints
 
 #: Symbols of the longest context; bytes of text in a block, and for a bucket of counts.
-ORDER, BLOCK_BYTES, BUCKET_BYTES = 5, 24 << 20, 16 << 20
+ORDER, BLOCK_BYTES, BUCKET_BYTES = 5, 14 << 20, 16 << 20
 #: A byte is its own symbol; the symbol of a text's end also stands before its start.
 END, SYMBOLS, BITS = 256, 257, 9
 WORDS, PAIRS = 0, 1
