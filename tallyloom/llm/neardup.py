@@ -4,9 +4,11 @@ Every document becomes the set of its distinct 5-word shingles; documents with e
 are one class from then on. In each of TREES independent trees the classes branch: a node
 deals its members out by the minwise token at a position that the node's own path picks
 (and, one time in 1/LEAST - 1, by a second position as well), so that two similar sets
-keep walking together. A node of at most LEAF members is compared exhaustively on the
-full sets; a larger one branches again. Trees run in batches: from the second batch on, a
-small node whose members are all in one component already is not compared again.
+keep walking together. A node of at most LEAF members is compared exhaustively; a larger
+one branches again. The comparison is on all minwise tokens first, and on the full sets for
+the members whose tokens agree with another's nearly as often as the threshold asks. Trees
+run in two batches: in the second one, members count that agree with a member of another
+component than their own.
 
 A leaf returns what its links connect as stars, so a group of thousands of copies costs
 rows in proportion to its members. Components come from the
@@ -38,7 +40,7 @@ from pyspark.sql.window import Window as W
 from tallyloom.llm.common import WordHasher, cut, drop_cut, free_shuffles, held, joined, mix, pack_sorted, unpack_sorted, windows
 
 #: Words a shingle; least similarity in hundredths; minwise tokens a set; independent trees, in batches; members of a leaf; steps after which a node branches no more.
-SHINGLE, LEAST, TOKENS, TREES, BATCHES, LEAF, DEPTH = 5, 85, 96, 16, (4, 12), 192, 40
+SHINGLE, LEAST, TOKENS, TREES, BATCHES, LEAF, DEPTH = 5, 85, 96, 16, (4, 12), 384, 40
 #: Steps that the rounds of branching take.
 ROUNDS = (1, 1, 1, 2, 3, 4, 6, 8, 14)
 
@@ -102,7 +104,7 @@ def _step(nodes: DataFrame, least: int, tokens: int) -> DataFrame:
 
 
 def _leaf_rows(classes: DataFrame, trees: int, early: int, leaf: int, least: int, tokens: int, depth: int) -> DataFrame:
-    """path, key and late (whether the tree is of a later batch) of the members of all leaves with at least two members."""
+    """path, key, late (whether the tree is of a later batch) and tokens of the members of all leaves with at least two members."""
     roots = F.array(*[F.struct(F.xxhash64(F.lit(t), F.lit(7)).alias("path"), F.lit(t >= early).alias("late")) for t in range(trees)])
     live = classes.select("key", "tokens", F.explode(roots).alias("root")).select("key", "tokens", "root.*")
     leaves, done = [], 0
@@ -114,22 +116,22 @@ def _leaf_rows(classes: DataFrame, trees: int, early: int, leaf: int, least: int
         done += steps
         counts = live.groupBy("path").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
         counted = cut(live.join(counts, "path"))
-        leaves.append(counted.filter(F.col("members") <= leaf).select("path", "key", "late"))
+        if "tokens" not in counted.columns:
+            counted = cut(counted.join(classes.select("key", "tokens"), "key"))
+        leaves.append(counted.filter(F.col("members") <= leaf).select("path", "key", "late", "tokens"))
         live = counted.filter(F.col("members") > leaf).drop("members")
         if live.isEmpty():
             return _union(leaves)
-        if "tokens" not in live.columns:
-            live = live.join(classes.select("key", "tokens"), "key")
         if done >= depth:
             break
     half = leaf // 4
     node = W.partitionBy("path")
     order = node.orderBy(*[_token(F.lit(i)) for i in range(4)], "key")
-    placed = cut(live.select("path", "key", "late", F.row_number().over(order).alias("nth"), F.row_number().over(node.orderBy("key")).alias("rank"), F.count(F.lit(1)).over(node).alias("members")))
+    placed = cut(live.select("path", "key", "late", "tokens", F.row_number().over(order).alias("nth"), F.row_number().over(node.orderBy("key")).alias("rank"), F.count(F.lit(1)).over(node).alias("members")))
     part = F.floor((F.col("nth") - 1) / half)
     spread = placed.withColumn("part", F.explode(F.array(part, part + 1)))
     hubs = placed.filter(F.col("rank") <= half).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("members") - 1) / half) + 1)))
-    last = spread.unionByName(hubs).select(F.xxhash64("path", "part").alias("path"), "key", "late").distinct()
+    last = spread.unionByName(hubs).select(F.xxhash64("path", "part").alias("path"), "key", "late", "tokens").distinct()
     return _union([*leaves, cut(last)])
 
 
@@ -177,6 +179,37 @@ def links_in(keys: list[bytes], sets: list[np.ndarray], least: int) -> list[tupl
     return [(keys[find(i)], keys[i]) for i in range(n) if find(i) != i]
 
 
+def _agreeing(least: int, tokens: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    """Members of leaves whose tokens agree with those of a member of another root as often
+    as similar sets' do, less 4.5 standard deviations."""
+    enough = tokens * least / 100 - 4.5 * (tokens * least / 100 * (1 - least / 100)) ** 0.5
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        leaves: dict[int, list[int]] = {}
+        for i, path in enumerate(table["path"].to_pylist()):
+            leaves.setdefault(path, []).append(i)
+        signs = np.frombuffer(b"".join(table["tokens"].to_pylist()), np.uint32).reshape(-1, tokens)
+        roots = np.unique(np.array(table["root"].to_pylist(), object), return_inverse=True)[1] if table.num_rows else np.zeros(0)
+        keep = np.zeros(table.num_rows, bool)
+        for members in leaves.values():
+            rows = np.array(members)
+            for at in range(0, len(rows), 64):  # some rows against all at a time
+                some = rows[at : at + 64]
+                agree = (signs[some][:, None] == signs[rows][None]).sum(axis=2)
+                keep[some] |= ((agree >= enough) & (roots[some][:, None] != roots[rows][None])).any(axis=1)
+        return table.select(["path", "key", "late", "tokens"]).filter(pa.array(keep))
+
+    return run
+
+
+def _promising(leaves: DataFrame, least: int, tokens: int, rows: int = 8000) -> DataFrame:
+    """leaves: path, key, late, tokens and root. The members that are worth comparing on their
+    sets, which are far larger than their tokens."""
+    groups = max(1, -(-leaves.count() // rows))
+    dealt = leaves.withColumn("group", F.pmod(F.xxhash64("path"), F.lit(groups)))
+    return cut(dealt.groupBy("group").applyInArrow(_agreeing(least, tokens), "path long, key binary, late boolean, tokens binary"))
+
+
 def _comparer(least: int) -> Callable[[tuple, pa.Table], pa.Table]:
     def run(key: tuple, table: pa.Table) -> pa.Table:
         leaves: dict[int, dict[bytes, int]] = {}
@@ -248,13 +281,16 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, least: int = LEAST, trees
     signed = cut(rows.mapInArrow(_signer(k, tokens), "doc_id long, n long, key binary, tokens binary"))
     classes = cut(signed.filter("key is not null").groupBy("key").agg(F.first("tokens").alias("tokens"), F.min("doc_id").alias("least_id")))
     early = max(1, round(batches[0] * trees / sum(batches)))
-    leaves = cut(_leaf_rows(classes, trees, early, leaf, least, tokens, depth))
+    leaves = _leaf_rows(classes, trees, early, leaf, least, tokens, depth)
+    leaves = _promising(leaves.withColumn("root", F.col("key")), least, tokens)
     sets = cut(_shingles(docs, signed, cut(leaves.select("key").distinct()), k))
     free_shuffles(docs.sparkSession)
     found = components(_compared(leaves.filter("not late").select("path", "key"), sets, least))
-    known = leaves.filter("late").select("path", "key").join(found, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    open_ = known.groupBy("path").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("path")
-    found = components(_compared(cut(known.join(open_, "path").select("path", "key")), sets, least), found)
+    late = leaves.filter("late").join(found, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    late = _promising(cut(late), least, tokens).select("path", "key")
+    free_shuffles(docs.sparkSession)
+    found = components(_compared(late, sets, least), found)
+    free_shuffles(docs.sparkSession)
     named = signed.select("doc_id", "n", "key").join(found, "key", "left").withColumn("root", F.coalesce("root", "key"))
     # The component's smallest doc_id, from a row a class, so that a class of copies counts once.
     ids = classes.select("key", "least_id").join(found, "key", "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("least_id").alias("component"))
