@@ -4,28 +4,37 @@ Every document becomes the set of its distinct 5-word shingles; documents with e
 are one class from then on. In each of TREES independent trees the classes branch: a node
 deals its members out by the minwise token at a position that the node's own path picks
 (and, one time in 1/LEAST - 1, by a second position as well), so that two similar sets
-keep walking together. A node of at most LEAF members is compared exhaustively; a larger
-one branches again. The comparison is on all minwise tokens first, and on the full sets for
-the members whose tokens agree with another's nearly as often as the threshold asks. Trees
-run in two batches: in the second one, members count that agree with a member of another
-component than their own.
-
-A leaf returns what its links connect as stars, so a group of thousands of copies costs
-rows in proportion to its members. Components come from the
-links by alternating large-star and small-star steps, all in DataFrames.
+keep walking together.
+
+Components are all that is asked for, so only members of different components have to
+meet. A node whose members are all of one component ends; a node with few pairs of members
+of different components (as many as LEAF members make) is compared exhaustively; any other
+branches again. The comparison is on all minwise tokens first, and on the full sets for the
+members whose tokens agree with those of another component's member nearly as often as the
+threshold asks. A leaf returns what its links connect as stars, so that thousands of copies
+cost rows in proportion to their number. Components come from the links by alternating
+large-star and small-star steps, all in DataFrames.
+
+Trees run in two batches. The large nodes of the first batch's first level are dealt at
+random into chunks, each compared exhaustively together with some members of the node that
+are in all of its chunks (hubs). Where most pairs of a large group are links, this makes it
+one component at the cost of its members, and its nodes end at once in every later level;
+where most aren't, branching parts the group by more than a node's second position adds to
+it. So rows follow the number of members either way, not the size of groups.
 
 Expected recall of a link at similarity s in a node path of d steps is 1 - (1 - s^d)^TREES
 at least: over 0.99999 at s = 0.85 for the usual d = 1 and 2, less about one link in
 100,000 that the comparison of tokens misses in a tree.
 
-A node that is still large after DEPTH steps holds sets that hardly differ. It is dealt
-out in the order of its members' tokens into leaves that overlap by half, each with the
-node's smallest members besides, which joins what is alike at once.
+A node that is still large after DEPTH steps is compared exhaustively in blocks: its
+members are dealt into parts, and every two parts meet in a task of their own.
 
 Defined cases: a null text or one without words has an empty set, size 0, and is linked
-with nothing; fewer than 5 words are one shingle; repeated rows and equal texts are one
-class; a null doc_id never names a component, and a component of nothing else has a null
-id; ties go to the smaller id; an empty table gives none."""
+with nothing; fewer than 5 words are one shingle; a very long text is one step of its own,
+and its set goes whole into the comparison; repeated rows and equal texts are one class; a
+null doc_id never names a component, and a component of nothing else has a null id; ties go
+to the smaller id; an empty table gives none. Other columns of the input, whatever their
+names, are ignored by near_duplicates and carried by kept_documents."""
 
 from __future__ import annotations
 
@@ -36,14 +45,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from tallyloom.llm.common import WordHasher, cut, drop_cut, free_shuffles, held, joined, mix, pack_sorted, unpack_sorted, windows
+from tallyloom.llm.common import WordHasher, cut, drop_cut, free_shuffles, held, joined, mix, pack_sorted, runs, unpack_sorted, windows
 
-#: Words a shingle; least similarity in hundredths; minwise tokens a set; independent trees, in batches; members of a leaf; steps after which a node branches no more.
-SHINGLE, LEAST, TOKENS, TREES, BATCHES, LEAF, DEPTH = 5, 85, 96, 16, (4, 12), 384, 40
-#: Steps that the rounds of branching take.
-ROUNDS = (1, 1, 1, 2, 3, 4, 6, 8, 14)
+#: Words a shingle; least similarity in hundredths; minwise tokens a set; independent trees, in batches; members of a leaf; steps after which a node branches no more; members of a node that are in all of its chunks.
+SHINGLE, LEAST, TOKENS, TREES, BATCHES, LEAF, DEPTH, HUBS = 5, 85, 96, 16, (4, 12), 768, 40, 32
+#: Leaves where one component has nearly all members may hold so many times LEAF.
+WIDE = 4
 
 
 def _sets(part: pa.RecordBatch, hasher: WordHasher, k: int) -> list[np.ndarray]:
@@ -79,13 +87,15 @@ def _signer(k: int, tokens: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
                     keys.append(xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None)
                     if len(x):
                         # The product's upper half orders the set anew for each factor; its least value names the token.
-                        least = np.empty(tokens, np.uint64)
-                        for at in range(0, tokens, 16):
-                            least[at : at + 16] = (x[:, None] * factors[None, at : at + 16]).min(axis=0)
+                        least = np.full(tokens, np.iinfo(np.uint64).max)
+                        for lo in range(0, len(x), 1 << 16):
+                            some = x[lo : lo + (1 << 16), None]
+                            for at in range(0, tokens, 16):
+                                np.minimum(least[at : at + 16], (some * factors[None, at : at + 16]).min(axis=0), out=least[at : at + 16])
                         signed.append((mix(least) >> np.uint64(32)).astype(np.uint32).tobytes())
                     else:
                         signed.append(None)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signed, pa.binary())], names=["doc_id", "n", "key", "tokens"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signed, pa.binary())], names=["doc_id", "mark", "n", "key", "tokens"])
 
     return run
 
@@ -96,44 +106,48 @@ def _token(position: Column) -> Column:
 
 
 def _step(nodes: DataFrame, least: int, tokens: int) -> DataFrame:
-    """One step down: path, key, late, tokens. All members of a node take the same positions."""
+    """One step down: path, key, root, tokens. All members of a node take the same positions."""
     first = F.pmod(F.xxhash64("path", F.lit(1)), F.lit(tokens))
     second = F.pmod(F.xxhash64("path", F.lit(2)), F.lit(tokens))
     more = F.pmod(F.xxhash64("path", F.lit(3)), F.lit(least)) < 100 - least
     to = F.array(F.xxhash64("path", F.lit(1), _token(first)), F.xxhash64("path", F.lit(2), _token(second)))
-    return nodes.select("key", "tokens", "late", F.explode(F.when(more, to).otherwise(F.slice(to, 1, 1))).alias("path"))
+    return nodes.select("key", "root", "tokens", F.explode(F.when(more, to).otherwise(F.slice(to, 1, 1))).alias("path"))
 
 
-def _leaf_rows(classes: DataFrame, trees: int, early: int, leaf: int, least: int, tokens: int, depth: int) -> DataFrame:
-    """path, key, late (whether the tree is of a later batch) and tokens of the members of all leaves with at least two members."""
-    roots = F.array(*[F.struct(F.xxhash64(F.lit(t), F.lit(7)).alias("path"), F.lit(t >= early).alias("late")) for t in range(trees)])
-    live = classes.select("key", "tokens", F.explode(roots).alias("root")).select("key", "tokens", "root.*")
-    leaves, done = [], 0
-    for steps in ROUNDS:
-        for _ in range(steps):
-            live = _step(live, least, tokens)
-        if not done:  # most nodes end here, with a member or a few: their rows go without their tokens
-            live = cut(live.select("path", "key", "late"))
-        done += steps
-        counts = live.groupBy("path").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-        counted = cut(live.join(counts, "path"))
-        if "tokens" not in counted.columns:
-            counted = cut(counted.join(classes.select("key", "tokens"), "key"))
-        leaves.append(counted.filter(F.col("members") <= leaf).select("path", "key", "late", "tokens"))
-        live = counted.filter(F.col("members") > leaf).drop("members")
-        if live.isEmpty():
-            return _union(leaves)
-        if done >= depth:
-            break
-    half = leaf // 4
-    node = W.partitionBy("path")
-    order = node.orderBy(*[_token(F.lit(i)) for i in range(4)], "key")
-    placed = cut(live.select("path", "key", "late", "tokens", F.row_number().over(order).alias("nth"), F.row_number().over(node.orderBy("key")).alias("rank"), F.count(F.lit(1)).over(node).alias("members")))
-    part = F.floor((F.col("nth") - 1) / half)
-    spread = placed.withColumn("part", F.explode(F.array(part, part + 1)))
-    hubs = placed.filter(F.col("rank") <= half).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("members") - 1) / half) + 1)))
-    last = spread.unionByName(hubs).select(F.xxhash64("path", "part").alias("path"), "key", "late", "tokens").distinct()
-    return _union([*leaves, cut(last)])
+def _planted(classes: DataFrame, trees: range, least: int, tokens: int) -> DataFrame:
+    """path, key and root of all classes (key, root, tokens) one step below the roots of the trees. Most nodes have a member or a few, so their rows go without tokens."""
+    roots = F.explode(F.array(*[F.xxhash64(F.lit(t), F.lit(7)) for t in trees])).alias("path")
+    return cut(_step(classes.select("key", "root", "tokens", roots), least, tokens).select("path", "key", "root"))
+
+
+def _gathered(live: DataFrame, leaf: int) -> DataFrame:
+    """live with members and small of its node, less the nodes of a single component. Sums by
+    node and component go first, so a large node is a row a component in the second sum."""
+    per = live.groupBy("path", "root").agg(F.count(F.lit(1)).cast("double").alias("m"))
+    nodes = per.groupBy("path").agg(F.sum("m").alias("members"), F.sum(F.col("m") * F.col("m")).alias("same"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    few = (F.col("members") * F.col("members") - F.col("same") <= leaf * leaf) & (F.col("members") <= WIDE * leaf)
+    # Written first: a join of two plain exchanges is one that adaptive execution can split at a large node.
+    nodes = cut(nodes.select("path", F.col("members").cast("long").alias("members"), few.alias("small")))
+    out = cut(live.join(nodes, "path"))
+    drop_cut(nodes)
+    return out
+
+
+def _chunks(large: DataFrame, leaf: int, hubs: int) -> DataFrame:
+    """path, key and root: the members of large nodes (with their number) dealt at random into chunks of about half a leaf, and about so many of each node's members in all of its chunks."""
+    parts = F.ceil(F.col("members") * 2 / leaf).cast("long")
+    own = F.array(F.pmod(F.xxhash64("path", "key", F.lit(5)), parts))
+    hub = F.pmod(F.xxhash64("path", "key", F.lit(6)), F.col("members")) < hubs
+    part = F.explode(F.when(hub, F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(own))
+    return large.select("path", "key", "root", part.alias("part")).select(F.xxhash64("path", "part", F.lit(8)).alias("path"), "key", "root")
+
+
+def _blocks(large: DataFrame, leaf: int) -> DataFrame:
+    """path, key and root: the members of large nodes, dealt into parts of about half a leaf; every two parts of a node are a leaf."""
+    parts = F.ceil(F.col("members") * 2 / leaf).cast("long")
+    own = F.pmod(F.xxhash64("path", "key", F.lit(9)), parts)
+    rows = large.select("path", "key", "root", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
+    return rows.select(F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other"), F.lit(10)).alias("path"), "key", "root")
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -143,6 +157,26 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _walked(live: DataFrame, classes: DataFrame, leaf: int, least: int, tokens: int, depth: int) -> list[DataFrame]:
+    """path, key and root of all leaves below the nodes of live (path, key, root)."""
+    leaves, done, before = [], 1, live
+    while True:
+        inside = _gathered(live, leaf)
+        drop_cut(before)
+        leaves.append(inside.filter("small").select("path", "key", "root"))
+        large = inside.filter("not small")
+        if large.isEmpty():
+            return leaves
+        if done >= depth:
+            return [*leaves, _blocks(large, leaf)]
+        steps = 1 if done < 4 else 2
+        rows = large.select("path", "key", "root").join(classes.select("key", "tokens"), "key")
+        for _ in range(steps):
+            rows = _step(rows, least, tokens)
+        live = before = cut(rows.select("path", "key", "root"))
+        done += steps
+
+
 def links_in(keys: list[bytes], sets: list[np.ndarray], least: int) -> list[tuple[bytes, bytes]]:
     """Exhaustive comparison of a leaf on its full sets. What the links connect comes back as
     stars: each member with the smallest key that it reaches."""
@@ -181,34 +215,40 @@ def links_in(keys: list[bytes], sets: list[np.ndarray], least: int) -> list[tupl
 
 
 def _agreeing(least: int, tokens: int) -> Callable[[tuple, pa.Table], pa.Table]:
-    """Members of leaves whose tokens agree with those of a member of another root as often
-    as similar sets' do, less 4.5 standard deviations."""
+    """Members of leaves whose tokens agree with those of a member of another component as
+    often as similar sets' do, less 4.5 standard deviations."""
     enough = tokens * least / 100 - 4.5 * (tokens * least / 100 * (1 - least / 100)) ** 0.5
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        leaves: dict[int, list[int]] = {}
-        for i, path in enumerate(table["path"].to_pylist()):
-            leaves.setdefault(path, []).append(i)
+        paths = table["path"].to_numpy()
         signs = np.frombuffer(b"".join(table["tokens"].to_pylist()), np.uint32).reshape(-1, tokens)
-        roots = np.unique(np.array(table["root"].to_pylist(), object), return_inverse=True)[1] if table.num_rows else np.zeros(0)
+        roots = np.unique(np.array(table["root"].to_pylist(), object), return_inverse=True)[1] if table.num_rows else np.zeros(0, np.int64)
         keep = np.zeros(table.num_rows, bool)
-        for members in leaves.values():
-            rows = np.array(members)
-            for at in range(0, len(rows), 64):  # some rows against all at a time
-                some = rows[at : at + 64]
-                agree = (signs[some][:, None] == signs[rows][None]).sum(axis=2)
-                keep[some] |= ((agree >= enough) & (roots[some][:, None] != roots[rows][None])).any(axis=1)
-        return table.select(["path", "key", "late", "tokens"]).filter(pa.array(keep))
+        order = np.argsort(paths, kind="stable")
+        for lo, hi in runs(paths[order]):
+            rows = order[lo:hi]
+            # The members of the most frequent component needn't look at each other.
+            own, often = np.unique(roots[rows], return_counts=True)
+            lookers = rows[roots[rows] != own[often.argmax()]]
+            for at in range(0, len(lookers), 64):  # some rows against all at a time
+                some = lookers[at : at + 64]
+                agree = np.zeros((len(some), len(rows)), np.int16)
+                for t in range(tokens):
+                    agree += signs[some, t][:, None] == signs[rows, t][None]
+                match = (agree >= enough) & (roots[some][:, None] != roots[rows][None])
+                keep[some] |= match.any(axis=1)
+                keep[rows] |= match.any(axis=0)
+        return table.select(["path", "key"]).filter(pa.array(keep))
 
     return run
 
 
-def _promising(leaves: DataFrame, least: int, tokens: int, rows: int = 8000) -> DataFrame:
-    """leaves: path, key, late, tokens and root. The members that are worth comparing on their
-    sets, which are far larger than their tokens."""
+def _promising(leaves: DataFrame, classes: DataFrame, least: int, tokens: int, rows: int = 8000) -> DataFrame:
+    """leaves: path, key and root. path and key of the members that are worth comparing on
+    their sets, which are far larger than their tokens."""
     groups = max(1, -(-leaves.count() // rows))
-    dealt = leaves.withColumn("group", F.pmod(F.xxhash64("path"), F.lit(groups)))
-    return cut(dealt.groupBy("group").applyInArrow(_agreeing(least, tokens), "path long, key binary, late boolean, tokens binary"))
+    dealt = leaves.join(classes.select("key", "tokens"), "key").withColumn("group", F.pmod(F.xxhash64("path"), F.lit(groups)))
+    return cut(dealt.groupBy("group").applyInArrow(_agreeing(least, tokens), "path long, key binary"))
 
 
 def _comparer(least: int) -> Callable[[tuple, pa.Table], pa.Table]:
@@ -226,11 +266,19 @@ def _comparer(least: int) -> Callable[[tuple, pa.Table], pa.Table]:
     return run
 
 
-def _compared(leaves: DataFrame, sets: DataFrame, least: int, rows: int = 2000) -> DataFrame:
-    """Links between members of the leaves; some leaves make up one task's group, of about so many rows."""
-    groups = max(1, -(-leaves.count() // rows))
-    both = leaves.join(sets, "key").withColumn("group", F.pmod(F.xxhash64("path"), F.lit(groups)))
-    return cut(both.groupBy("group").applyInArrow(_comparer(least), "a binary, b binary"))
+def _linked(leaves: DataFrame, classes: DataFrame, docs: DataFrame, signed: DataFrame, k: int, least: int, tokens: int, rows: int = 2000) -> DataFrame:
+    """Links between members of the leaves, as stars; some leaves make up one task's group, of about so many rows."""
+    some = _promising(leaves, classes, least, tokens)
+    groups = max(1, -(-some.count() // rows))
+    wanted = cut(some.select("key").distinct())
+    sets = cut(_shingles(docs, signed, wanted, k))
+    free_shuffles(docs.sparkSession)
+    both = some.join(sets, "key").withColumn("group", F.pmod(F.xxhash64("path"), F.lit(groups)))
+    links = cut(both.groupBy("group").applyInArrow(_comparer(least), "a binary, b binary"))
+    for done in (some, wanted, sets):
+        drop_cut(done)
+    free_shuffles(docs.sparkSession)
+    return links
 
 
 def _shingles(docs: DataFrame, signed: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -276,40 +324,62 @@ def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
         before, edges = tuple(mark), after
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE, least: int = LEAST, trees: int = TREES, batches: tuple[int, ...] = BATCHES, leaf: int = LEAF, tokens: int = TOKENS, depth: int = DEPTH) -> DataFrame:
-    """doc_id, n_shingles, class_key and component_id of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = cut(rows.mapInArrow(_signer(k, tokens), "doc_id long, n long, key binary, tokens binary"))
-    classes = cut(signed.filter("key is not null").groupBy("key").agg(F.first("tokens").alias("tokens"), F.min("doc_id").alias("least_id")))
+def labelled(docs: DataFrame, k: int = SHINGLE, least: int = LEAST, trees: int = TREES, batches: tuple[int, ...] = BATCHES, leaf: int = LEAF, tokens: int = TOKENS, depth: int = DEPTH, hubs: int = HUBS) -> DataFrame:
+    """doc_id, mark (a hash of the text), n (shingles), key (of its class) and root (the key
+    that names its component; both null without words) of every row."""
+    spark = docs.sparkSession
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
+    signed = cut(rows.mapInArrow(_signer(k, tokens), "doc_id long, mark long, n long, key binary, tokens binary"))
+    classes = cut(signed.filter("key is not null").groupBy("key").agg(F.first("tokens").alias("tokens")))
     early = max(1, round(batches[0] * trees / sum(batches)))
-    leaves = _leaf_rows(classes, trees, early, leaf, least, tokens, depth)
-    leaves = _promising(leaves.withColumn("root", F.col("key")), least, tokens)
-    sets = cut(_shingles(docs, signed, cut(leaves.select("key").distinct()), k))
-    free_shuffles(docs.sparkSession)
-    found = components(_compared(leaves.filter("not late").select("path", "key"), sets, least))
-    late = leaves.filter("late").join(found, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    late = _promising(cut(late), least, tokens).select("path", "key")
-    free_shuffles(docs.sparkSession)
-    found = components(_compared(late, sets, least), found)
-    free_shuffles(docs.sparkSession)
-    named = signed.select("doc_id", "n", "key").join(found, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    # The component's smallest doc_id, from a row a class, so that a class of copies counts once.
-    ids = classes.select("key", "least_id").join(found, "key", "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("least_id").alias("component"))
-    out = named.join(ids, "root", "left")
+    live = _planted(classes.withColumn("root", F.col("key")), range(early), least, tokens)
+    inside = _gathered(live, leaf)
+    drop_cut(live)
+    leaves = inside.filter("small").select("path", "key", "root").unionByName(_chunks(inside.filter("not small"), leaf, hubs))
+    links = _linked(leaves, classes, docs, signed, k, least, tokens)
+    found = components(links)
+    drop_cut(links)
+    # From here on nodes of one component end.
+    rooted = cut(classes.join(found, "key", "left").select("key", "tokens", F.coalesce("root", "key").alias("root")))
+    drop_cut(classes)
+    again = cut(inside.filter("not small").select("path", "key").join(rooted.select("key", "root"), "key").select("path", "key", "root"))
+    drop_cut(inside)
+    leaves = _walked(again, rooted, leaf, least, tokens, depth)
+    if trees > early:
+        leaves += _walked(_planted(rooted, range(early, trees), least, tokens), rooted, leaf, least, tokens, depth)
+    links = _linked(_union(leaves), rooted, docs, signed, k, least, tokens)
+    drop_cut(rooted)
+    found = components(links, found)
+    drop_cut(links)
+    free_shuffles(spark)
+    return signed.select("doc_id", "mark", "n", "key").join(found, "key", "left").select("doc_id", "mark", "n", "key", F.coalesce("root", "key").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, **settings) -> DataFrame:
+    """doc_id, n_shingles, class_key and component_id of every row."""
+    rows = cut(labelled(docs, **settings))
+    # Rows without words have no root: each is a component of its own.
+    ids = rows.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component"))
+    out = rows.join(ids, "root", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("key").alias("class_key"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
 def kept_documents(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of docs, all columns, less those whose component has a smaller doc_id; of
-    rows with equal doc_id and text one stays. Rows without words stay all."""
-    marks = near_duplicates(docs, **settings).filter("class_key is not null and doc_id is not null")
-    gone = marks.groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    several = gone.filter((F.col("least") < F.col("doc_id")) | (F.col("copies") > 1)).withColumnRenamed("doc_id", "known")
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*[F.col(c) for c in docs.columns]).alias("own"))
-    marked = rows.join(several, F.col("id") == F.col("known"), "left")
-    clean = marked.filter("known is null").select("own")
-    first = marked.filter("known is not null and least = known").dropDuplicates(["known"]).select("own")
-    return clean.unionByName(first).select("own.*")
+    """The rows of docs, all columns, that are the first of their component: the one with
+    the smallest doc_id (null last), and of those the one whose text has the smallest hash;
+    of rows with equal doc_id and text one stays. Rows without words stay all."""
+    rows = cut(labelled(docs, **settings).filter("root is not null").groupBy("root", "doc_id", "mark").agg(F.count(F.lit(1)).alias("copies")))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    first = rows.groupBy("root").agg(F.min(order).alias("first"))
+    judged = rows.join(first, "root").withColumn("stays", order == F.col("first"))
+    # The rest: rows that go, and rows of which one copy stays.
+    some = judged.filter("not stays or copies > 1").groupBy(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "mark").agg(F.max("stays").alias("stays"))
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").cast("long").isNull().alias("none"), F.xxhash64(F.col("text").cast("string")).alias("mark"), F.struct(*[F.col(c) for c in docs.columns]).alias("own"))
+    marked = own.join(some, ["id", "none", "mark"], "left")
+    clean = marked.filter("stays is null").select("own")
+    one = marked.filter("stays").dropDuplicates(["id", "none", "mark"]).select("own")
+    return clean.unionByName(one).select("own.*")
 
 
 def brute_force(rows: list[tuple[int | None, str | None]], k: int = SHINGLE, least: int = LEAST) -> list[tuple[int | None, int, int | None]]:

@@ -196,16 +196,42 @@ def test_near_duplicates(docs, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
-def test_a_large_group_of_copies_is_one_component(spark):
+def edited(words, places, tag):
+    words = list(words)
+    for p in places:
+        words[p] = f"{tag}_{p}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("depth", [1, 40])
+def test_a_large_group_of_copies_is_one_component(spark, depth):
+    """Links lie far apart: copies are alike to their original only, with each other too little."""
     rng = np.random.default_rng(5)
-    data = []
-    for i in range(900):
-        words = [f"c{j}" for j in range(150)]
-        words[int(rng.integers(0, 150))] = f"edit{i}"
-        data.append((i, " ".join(words)))
+    base = [f"c{j}" for j in range(150)]
+    data = [(i, edited(base, rng.choice(30, 2, replace=False) * 5, f"e{i}")) for i in range(1, 600)] + [(700, " ".join(base))]
     df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
-    got = neardup.near_duplicates(df, leaf=48, depth=5)
-    assert {r["component_id"] for r in got.collect()} == {0}
+    got = neardup.near_duplicates(df, leaf=48, depth=depth, hubs=4)
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == sorted(neardup.brute_force(data))
+
+
+def test_links_just_above_the_threshold_are_found(spark):
+    """400 pairs at 0.85 to 0.87 among documents that are otherwise apart."""
+    rng = np.random.default_rng(9)
+    data, pairs = [], 0
+    for i in range(400):
+        words = [f"p{i}_{j}" for j in range(int(rng.integers(128, 148)))]
+        data += [(2 * i, " ".join(words)), (2 * i + 1, edited(words, [40, 80], "x"))]  # ten shingles of each text are its own
+        n = len(words) - 4
+        pairs += 85 * (n + 10) <= 100 * (n - 10) <= 87 * (n + 10)
+    assert pairs == 400
+    got = neardup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string").repartition(4))
+    assert sum(r["component_id"] != r["doc_id"] for r in got.collect()) >= 399
+
+
+def test_kept_documents_of_repeated_ids(spark):
+    data = [(1, "a b c d e f g", 7), (1, "u v w x y z q", 8), (1, "a b c d e f g", 7), (2, "a b c d e f g", 9), (None, "u v w x y z q", 1), (None, "lone words of nobody here", 2), (3, None, 3), (3, None, 4)]
+    kept = neardup.kept_documents(spark.createDataFrame(data, "doc_id long, text string, mark int"))
+    assert sorted(map(tuple, kept.collect()), key=key) == sorted([(1, "a b c d e f g", 7), (1, "u v w x y z q", 8), (None, "lone words of nobody here", 2), (3, None, 3), (3, None, 4)], key=key)
 
 
 def test_components_of_chains(spark):
