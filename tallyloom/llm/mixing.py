@@ -11,7 +11,9 @@ come first, and the rest of the quota is the blocks at the head of that order.
 Defined cases: a null text has no words and size 0; a null source is a source of its own,
 after all others; sources of size 0 have target 0 and nothing is taken; equal documents
 are ordered by a hash of the text as well, and identical rows share what that place gets
-in a fixed way; an empty table gives none. An input column of any other name is ignored."""
+in a fixed way, to the word; equal quotients go to the smaller key; a very long text is a
+document like others and is cut like them; an empty table gives none. Other columns of the
+input, whatever their names, are ignored by mix_sources and carried by mixed_documents."""
 
 from __future__ import annotations
 
@@ -22,7 +24,7 @@ from pyspark.sql.window import Window as W
 from tallyloom.llm.common import cut
 
 #: Words a block, documents a shard on average, weights by rank of the source, size of the mix and most copies of a word.
-BLOCK, SHARD_DOCS, WEIGHTS, SHARE, CAP = 4, 4096, (3, 1, 2), 1.5, 2
+BLOCK, SHARD_DOCS, WEIGHTS, SHARE, CAP = 4, 512, (3, 1, 2), 1.5, 2
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -57,30 +59,50 @@ def targets(by_source: DataFrame, share: float = SHARE, cap: int = CAP, weights:
     return open_.select("source", "source_size", "rank", F.least("most", F.coalesce("common", F.lit(0.0)) * F.col("weight")).alias("target"))
 
 
+def _level(seats: Column, over: list[str], key: list[str], votes: str, most: str) -> Column:
+    """The factor by which votes fill the parties of a group, each up to most, until they
+    hold so many seats together; null where all of them are full before."""
+    group = W.partitionBy(*over)
+    reach = F.col(most) / F.col(votes)
+    before = group.orderBy(reach, *[F.col(k).asc_nulls_last() for k in key]).rowsBetween(W.unboundedPreceding, -1)
+    level = (seats - F.coalesce(F.sum(most).over(before), F.lit(0))) / (F.sum(votes).over(group) - F.coalesce(F.sum(votes).over(before), F.lit(0.0)))
+    # The first party that its level does not fill has the common one.
+    return F.struct(reach.alias("reach"), F.greatest(level, F.lit(0.0)).alias("level"), (level <= reach).alias("fits"))
+
+
 def apportioned(parties: DataFrame, over: list[str], key: list[str], votes: str, seats: str, most: str) -> DataFrame:
     """Adds column won: the seats that each party (key) of a group (over) gets of the
     group's seats by the highest quotients votes/(2k+1), up to most.
 
-    With divisor = all votes / seats, rounding is off by half a seat a party, and limits
-    (most) free up to a seat a party more. A divisor that makes up for these moves no party
-    by more than its part of three seats a party, and one. So only the quotients within
-    that distance of each party's fair share can decide: they are listed and ranked, and
-    the highest are taken; their number grows with the parties, not with the seats."""
+    The result is the rounding of votes times some factor, cut at most. Rounding is off by
+    half a seat a party, so the factor that fills n seats less than there are gives each of
+    n parties no more than it wins, and the one that fills n seats more no less. Only the
+    quotients between the two can decide: they are listed and ranked, and the highest are
+    taken; they are a few a party, however many seats there are and wherever limits bind."""
     group = W.partitionBy(*over)
-    shared = parties.withColumn("all_votes", F.sum(votes).over(group)).withColumn("n", F.count(F.lit(1)).over(group))
-    fair = F.when(F.col("all_votes") > 0, F.col(votes) * F.col(seats) / F.col("all_votes")).otherwise(F.lit(0.0))
-    shared = shared.withColumn("fair", fair).withColumn("slack", F.ceil(F.col("n") * 3 * F.when(F.col("all_votes") > 0, F.col(votes) / F.col("all_votes")).otherwise(0.0)) + 2)
-    shared = shared.withColumn("sure", F.least(F.greatest(F.floor("fair") - F.col("slack"), F.lit(0)), F.col(most)))
-    shared = shared.withColumn("open", F.col(seats) - F.sum("sure").over(group))
-    listed = shared.filter((F.col(votes) > 0) & (F.col("sure") < F.col(most))).withColumn("seat", F.explode(F.sequence(F.col("sure"), F.least(F.ceil("fair") + F.col("slack"), F.col(most)) - 1)))
+    some = parties.filter((F.col(votes) > 0) & (F.col(most) > 0))
+    some = some.withColumn("n", F.count(F.lit(1)).over(group))
+    for name, goal in (("low", F.col(seats) - F.col("n")), ("high", F.col(seats) + F.col("n"))):
+        some = some.withColumn("at", _level(goal, over, key, votes, most))
+        some = some.withColumn(name, F.min(F.when(F.col("at.fits"), F.struct("at.reach", "at.level"))).over(group)["level"])
+    low = F.when(F.col("low").isNull(), F.col(most)).otherwise(F.least(F.col(most), F.greatest(F.lit(0), F.floor(F.col(votes) * F.col("low")) - 1)))
+    high = F.when(F.col("high").isNull(), F.col(most)).otherwise(F.least(F.col(most), F.ceil(F.col(votes) * F.col("high")) + 1))
+    some = some.withColumn("sure", low.cast("long")).withColumn("limit", high.cast("long"))
+    some = some.withColumn("open", F.col(seats) - F.sum("sure").over(group))
+    listed = some.filter(F.col("sure") < F.col("limit")).withColumn("seat", F.explode(F.sequence(F.col("sure"), F.col("limit") - 1)))
     quotient = F.col(votes) / (F.col("seat") * 2 + 1)
     first = F.row_number().over(group.orderBy(F.desc("quotient"), *[F.col(k).asc_nulls_last() for k in key], F.asc("seat")))
     gains = listed.withColumn("quotient", quotient).withColumn("nth", first).filter(F.col("nth") <= F.col("open")).groupBy(*over, *key).agg(F.count(F.lit(1)).alias("gained"))
-    same = None
-    for k in [*over, *key]:
-        one: Column = F.col(f"p.{k}").eqNullSafe(F.col(f"g.{k}"))
-        same = one if same is None else same & one
-    return shared.alias("p").join(gains.alias("g"), same, "left").select(*[F.col(f"p.{c}") for c in parties.columns], (F.col("p.sure") + F.coalesce(F.col("g.gained"), F.lit(0))).cast("long").alias("won"))
+    won = _same(some.select(*over, *key, "sure"), gains, [*over, *key], "left").select(*[F.col(f"a.{c}") for c in [*over, *key]], (F.col("a.sure") + F.coalesce(F.col("b.gained"), F.lit(0))).cast("long").alias("won"))
+    return _same(parties, won, [*over, *key], "left").select(*[F.col(f"a.{c}") for c in parties.columns], F.coalesce(F.col("b.won"), F.lit(0)).cast("long").alias("won"))
+
+
+def _same(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """a and b, under these names, joined on keys that may be null."""
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    return a.alias("a").join(b.alias("b"), same, how)
 
 
 def mix_sources(docs: DataFrame, seed: int = 20240229, block: int = BLOCK, shard_docs: int = SHARD_DOCS, share: float = SHARE, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -115,10 +137,15 @@ def mix_sources(docs: DataFrame, seed: int = 20240229, block: int = BLOCK, shard
 def mixed_documents(docs: DataFrame, seed: int = 20240229, **settings) -> DataFrame:
     """The mix itself, in the columns of docs: a row for each pass over a document, the
     last one cut after the words that the mix takes; documents that it doesn't take go."""
-    plan = mix_sources(docs, seed, **settings).groupBy("doc_id", "place").agg(F.max("size").alias("size"), F.expr("sum(taken) div count(1)").alias("taken")).filter("taken > 0")
+    plan = mix_sources(docs, seed, **settings).groupBy(F.col("doc_id").alias("id"), F.col("place").alias("key"), F.col("source").alias("owner")).agg(F.max("size").alias("size"), F.sum("taken").alias("sum"), F.count(F.lit(1)).alias("copies")).filter("sum > 0")
     key = F.xxhash64(F.lit(seed + 1), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit("")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), key.alias("key"), F.struct(*[F.col(c) for c in docs.columns]).alias("own"))
-    rows = rows.join(plan, (F.col("key") == F.col("place")) & F.col("id").eqNullSafe(F.col("doc_id")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), key.alias("key"), F.col("source").cast("string").alias("owner"), F.struct(*[F.col(c) for c in docs.columns]).alias("own"))
+    rows = _same(rows, plan, ["key", "id", "owner"]).select("a.*", "b.size", "b.sum", "b.copies")
+    # Identical rows share to the word: the first ones take one more where it doesn't come out even.
+    alone = rows.filter("copies = 1").withColumn("taken", F.col("sum"))
+    nth = F.row_number().over(W.partitionBy("key", "id", "owner").orderBy(F.to_json("own")))
+    several = rows.filter("copies > 1").withColumn("nth", nth).withColumn("taken", F.expr("sum div copies + if(nth <= sum % copies, 1, 0)")).drop("nth")
+    rows = alone.unionByName(several).filter("taken > 0")
     rows = rows.withColumn("nth", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
     left = F.col("taken") - (F.col("nth") - 1) * F.col("size")
     head = F.concat_ws(" ", F.slice(F.regexp_extract_all("own.text", F.lit(WORD), F.lit(0)), F.lit(1), left.cast("int")))
