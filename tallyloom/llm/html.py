@@ -11,8 +11,10 @@ table is then decoded in one pass without a shuffle.
 Defined cases: a null or empty page has an empty text; text outside any element is a
 block of its own; tags that never close end with their parent; a page whose blocks are
 all labelled as other than article has an empty text; scripts, styles, comments and
-everything in <head> are never blocks; repeated rows are each extracted; an empty table
-gives none."""
+everything in <head> are never blocks; repeated rows are each extracted; labels of equal
+weight go to other than article; an empty table gives none. Very long and deeply nested
+pages take time in proportion to their length: paths are read to PATH elements from the
+outside and the innermost one. Other columns of the input, whatever their names, are ignored."""
 
 from __future__ import annotations
 
@@ -52,7 +54,9 @@ CUES = {
 _CUE = {w: k for k, ws in CUES.items() for w in ws.split()}
 TALK = re.compile(r"cookie|©|copyright|all rights reserved|subscribe|newsletter|sign up|log ?in|advert|sponsored|share (?:this|on)|read more|related|privacy|terms of|repl(?:y|ies)|comments?\b|posted by|search|menu", re.I)
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+#: Elements of a path that make features, from the outside; its last one does besides.
+PATH = 64
+_OPEN = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|(/?)([a-zA-Z][^\s/>]*))")
 _MARKS = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _ENDS: dict[str, re.Pattern] = {t: re.compile(f"</{t}", re.I) for t in RAW_TAGS}
@@ -66,53 +70,120 @@ def _marks(attributes: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(_CUE[w] for w in found if w in _CUE))
 
 
+class _Tags:
+    """The tags of a page in order. Each search goes on where the last one ended, and what
+    a page doesn't hold any more is looked for only once, so the whole is linear."""
+
+    def __init__(self, page: str):
+        self.page, self.lacking = page, {}
+
+    def find(self, what: str, at: int) -> int:
+        """Where what stands next, or -1."""
+        if self.lacking.get(what, len(self.page) + 1) <= at:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.lacking[what] = at
+        return found
+
+    def after(self, what: str, at: int) -> int:
+        found = self.find(what, at)
+        return found + len(what) if found >= 0 else len(self.page)
+
+    def closed(self, at: int) -> int:
+        """Behind the > that ends the tag whose name ends at a place, or -1. A quote behind = hides a > up to the same quote, if there is one."""
+        page = self.page
+        while True:
+            end = self.find(">", at)
+            if end < 0:
+                return -1
+            marks = [x for x in (self.find('"', at), self.find("'", at)) if 0 <= x < end]
+            if not marks:
+                return end + 1
+            mark = min(marks)
+            close = self.find(page[mark], mark + 1) if page[at:mark].rstrip().endswith("=") else mark
+            if close < 0:
+                return end + 1
+            at = close + 1
+
+    def __iter__(self):
+        """(begin, end, whether it is an end tag, name or None, attributes)."""
+        page, at = self.page, 0
+        while m := _OPEN.search(page, at):
+            begin, at = m.span()
+            name = m.group(2)
+            if name is not None:
+                end = self.closed(at)
+                if end < 0:  # no tag is closed from here on
+                    return
+                inside = page[at : end - 1]
+                at = end
+            else:
+                opened, inside = m.group(0), ""
+                if opened == "<!--":
+                    at = self.after("-->", at)
+                elif opened == "<![CDATA[":
+                    at = self.after("]]>", at)
+                elif (at := self.find(">", at) + 1) == 0:
+                    return
+            skipped = yield begin, at, bool(m.group(1)), name.lower() if name else None, inside
+            if skipped is not None:
+                at = skipped
+                yield None
+
+
 def blocks(page: str) -> list[tuple[str, tuple[tuple[str, tuple[str, ...]], ...], float]]:
     """(text, path of (tag, cues), share of link text) of each leaf block in page order."""
     out, parts, linked = [], [], 0
     stack: list[tuple[str, tuple[str, ...]]] = []
+    outer: list[tuple[str, tuple[str, ...]]] = []  # the block elements of the stack
+    above: list[int] = []  # where they stand in it
+    places: dict[str, list[int]] = {}  # where each tag stands in the stack
     links, muted, at, n = 0, 0, 0, len(page)
+    tags = _Tags(page)
 
     def flush() -> None:
         nonlocal linked
         if parts:
-            text = " ".join(entities.unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
-                path = tuple(x for x in stack if x[0] in BLOCK_TAGS)
-                out.append((text, path, min(1.0, linked / len(text))))
+                out.append((text, tuple(outer) if len(outer) <= PATH else (*outer[: PATH - 1], outer[-1]), min(1.0, linked / len(text))))
             parts.clear()
         linked = 0
 
     def pop(to: int) -> None:
         nonlocal links, muted
-        for tag, _ in stack[to:]:
+        while len(stack) > to:
+            tag, _ = stack.pop()
+            places[tag].pop()
+            if above and above[-1] == len(stack):
+                above.pop()
+                outer.pop()
             links -= tag == "a"
             muted -= tag in SILENT_TAGS
-        del stack[to:]
-
-    while at < n:
-        m = _TAG.search(page, at)
-        upto = m.start() if m else n
-        if upto > at and not muted:
-            piece = page[at:upto]
-            parts.append(piece)
+
+    def text_of(begin: int, end: int) -> None:
+        nonlocal linked
+        if end > begin and not muted:
+            piece = page[begin:end]
+            # References end with the text that they stand in: a tag splits them for good.
+            parts.append(entities.unescape(piece) if "&" in piece else piece)
             if links:
-                linked += len(piece)
-        if not m:
-            break
-        at = m.end()
-        tag = m.group(2)
+                linked += end - begin
+
+    walk = iter(tags)
+    for begin, end, closing, tag, inside in walk:
+        text_of(at, begin)
+        at = end
         if tag is None:
             continue
-        tag = tag.lower()
-        if m.group(1):
+        if closing:
             if tag in BLOCK_TAGS:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    if tag not in BLOCK_TAGS and any(t in BLOCK_TAGS for t, _ in stack[i + 1 :]):
-                        break  # an inline end tag doesn't close blocks
+            if places.get(tag):
+                i = places[tag][-1]
+                if tag in BLOCK_TAGS or not above or above[-1] < i:  # an inline end tag doesn't close blocks
                     pop(i)
-                    break
             continue
         if tag == "br":
             parts.append(" ")
@@ -120,32 +191,46 @@ def blocks(page: str) -> list[tuple[str, tuple[tuple[str, tuple[str, ...]], ...]
         if tag in BLOCK_TAGS:
             flush()
             # an open paragraph or heading, and the inline elements in it, end here
-            for i in range(len(stack) - 1, -1, -1):
-                t = stack[i][0]
+            while above:
+                t = stack[above[-1]][0]
                 if t == "p" or t in HEADINGS:
-                    pop(i)
-                elif t in BLOCK_TAGS:
-                    if tag in _IMPLIED.get(t, ()):
-                        pop(i)
-                    break
-            if tag == "body":
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "head":
-                        pop(i)
-        if tag in VOID_TAGS or m.group(3).endswith("/"):
+                    pop(above[-1])
+                    continue
+                if tag in _IMPLIED.get(t, ()):
+                    pop(above[-1])
+                break
+            if tag == "body" and places.get("head"):
+                pop(places["head"][0])
+        if tag in VOID_TAGS or inside.endswith("/"):
             continue
         if tag in RAW_TAGS:
-            end = _ENDS[tag].search(page, at)
-            close = page.find(">", end.end()) if end else -1
-            at = close + 1 if close >= 0 else n
+            close = _raw_end(tags, tag, at)
+            walk.send(close)
+            at = close
             continue
-        stack.append((tag, _marks(m.group(3)) if m.group(3) else ()))
+        if tag in BLOCK_TAGS:
+            above.append(len(stack))
+            outer.append((tag, _marks(inside) if inside else ()))
+        places.setdefault(tag, []).append(len(stack))
+        stack.append((tag, ()))
         links += tag == "a"
         muted += tag in SILENT_TAGS
+    text_of(at, n)
     flush()
     return out
 
 
+def _raw_end(tags: _Tags, tag: str, at: int) -> int:
+    """Behind the end tag of an element whose content is no markup, or the page's end."""
+    if tags.lacking.get(tag, len(tags.page) + 1) <= at:
+        return len(tags.page)
+    end = _ENDS[tag].search(tags.page, at)
+    if not end:
+        tags.lacking[tag] = at
+        return len(tags.page)
+    return tags.after(">", end.end())
+
+
 @lru_cache(20_000)
 def _path_features(path: tuple[tuple[str, tuple[str, ...]], ...]) -> tuple[str, ...]:
     own = path[-1][0] if path else "none"

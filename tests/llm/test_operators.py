@@ -334,3 +334,14 @@ def test_html(spark):
     text = "T\n\nSome words of an article, long enough to be one."
     assert got == sorted([(1, text, len(text)), (1, text, len(text)), (2, "", 0), (None, "", 0), (3, "", 0)], key=key)
     assert html.extract(df.limit(0)).count() == 0
+
+
+def test_html_of_long_and_broken_pages():
+    field = html.trained()
+    pages = ["<a " * 70_000, "<div>" * 50_000 + "x", "</p>" * 50_000, "<b>" * 50_000 + "</i>" * 50_000, "<script>" * 30_000, "<!--" * 50_000, "<a '" * 50_000, '<a x="' * 40_000, "<div>x" * 50_000, "<a" * 100_000, "<p><b>" * 30_000, "<li>" * 50_000, "<a title=it's>" * 30_000]
+    began = time.time()
+    for page in pages:
+        html.main_text(page, field)
+    assert time.time() - began < 10
+    assert html.blocks("A&am<b>p;</b> &amp;lt;")[0][0] == "A&amp; &lt;"
+    assert [b[0] for b in html.blocks("<p title=it's>don't</p><p x='>'>go</p>")] == ["don't", "go"]
