@@ -7,9 +7,11 @@ sides are dealt into parts by a hash of the id, and each cell of the grid is one
 group, bounded whatever the input; only the k best of a query in each cell go on.
 
 Defined cases: vectors that are null, or hold null, NaN or infinite components, take no
-part; vectors of another number of components never meet; a query's own id is no
-candidate, repeated rows of it included; repeated rows of another id are candidates once
-each; ties go to the smaller vec_id; an empty table gives none."""
+part; vectors of another number of components never meet; empty vectors meet each other
+with score 0; a query's own id is no candidate, repeated rows of it included; repeated rows
+of another id are candidates once each; ties go to the smaller vec_id; an empty table gives
+none. Very long vectors make longer rows, not more of them. Other columns of the input,
+whatever their names, are ignored."""
 
 from __future__ import annotations
 
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 #: Cells a component, results a query, and rows of queries and of vectors that meet in one task on average.
-CELLS, K, QUERY_ROWS, VECTOR_ROWS = 16, 5, 1024, 8192
+CELLS, K, QUERY_ROWS, VECTOR_ROWS = 16, 5, 4096, 8192
 _SAFE = float(1 << 53)
 
 
@@ -31,21 +33,24 @@ def quantised(embedding: Column, scale: int = 256) -> Column:
 
 
 class ApproximationFile:
-    """Vectors as cell numbers per component, with each cell's least and greatest value."""
+    """Vectors as cell numbers, a byte a component. Cells of a component are equally wide, so
+    a query's bounds on a vector are one product with its cell numbers, and two constants."""
 
     def __init__(self, vectors: np.ndarray, cells: int = CELLS):
-        self.vectors = vectors
-        lo = vectors.min(axis=0, initial=0).astype(float)
-        step = np.maximum((vectors.max(axis=0, initial=0) - lo) / cells, 1e-9)
-        self.cells = np.minimum((vectors - lo) / step, cells - 1).astype(np.uint8)
-        self.low = lo + self.cells * step
-        self.high = self.low + step
-
-    def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.low = vectors.min(axis=0).astype(float) if len(vectors) else np.zeros(vectors.shape[1])
+        self.step = np.maximum(((vectors.max(axis=0) if len(vectors) else self.low) - self.low) / cells, 1e-9)
+        self.cells = np.minimum((vectors - self.low) / self.step, cells - 1).astype(np.uint8)
+        self.most = float(np.abs(self.low).max(initial=0) + (self.step * cells).max(initial=0))
+
+    def bounds(self, queries: np.ndarray, rows: int = 4096) -> tuple[np.ndarray, np.ndarray]:
         """Least and greatest score that each vector's cells allow for each query, rounded outwards."""
-        plus, minus = np.maximum(queries, 0).astype(float), np.minimum(queries, 0).astype(float)
-        slack = 1 + 1e-9 * np.abs(queries).sum(axis=1, dtype=float)[:, None] * max(1.0, float(np.abs(self.high).max(initial=0)))
-        return plus @ self.low.T + minus @ self.high.T - slack, plus @ self.high.T + minus @ self.low.T + slack
+        queries = queries.astype(float)
+        base = np.empty((len(queries), len(self.cells)))
+        for at in range(0, len(self.cells), rows):
+            base[:, at : at + rows] = (queries * self.step) @ self.cells[at : at + rows].T.astype(float)
+        base += (queries @ self.low)[:, None]
+        slack = 1 + 1e-9 * np.abs(queries).sum(axis=1) * max(1.0, self.most)
+        return base + (np.minimum(queries, 0) @ self.step - slack)[:, None], base + (np.maximum(queries, 0) @ self.step + slack)[:, None]
 
 
 def top_k(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int = K, step: int = 64) -> list[tuple[int, int, int]]:
@@ -79,7 +84,7 @@ def top_k(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors:
 
 def _array(column: pa.ChunkedArray, size: int) -> np.ndarray:
     flat = column.combine_chunks()
-    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, size)
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), size)
 
 
 def _meet(k: int):

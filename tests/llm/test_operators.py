@@ -311,7 +311,7 @@ def test_search(spark):
 
     rng = np.random.default_rng(1)
     data = [(int(i), [float(x) for x in rng.normal(size=6)]) for i in range(300)]
-    data += [(400, None), (401, [1.0, None] + [0.0] * 4), (402, [math.nan] * 6), (403, [math.inf] * 6), (450, [1.0, 2.0]), (500, [0.5, -0.5]), (None, [0.0] * 6), (7, data[7][1]), *[(600 + i, data[50][1]) for i in range(30)]]
+    data += [(400, None), (401, [1.0, None] + [0.0] * 4), (402, [math.nan] * 6), (403, [math.inf] * 6), (450, [1.0, 2.0]), (500, [0.5, -0.5]), (550, []), (551, []), (552, []), (None, [0.0] * 6), (7, data[7][1]), *[(600 + i, data[50][1]) for i in range(30)]]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>").withColumn("v", __import__("pyspark").sql.functions.lit(1)).repartition(3)
     ok = [(i, [math.floor(256 * float(np.float32(x))) for x in e]) for i, e in data if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e)]
     want = []
