@@ -9,13 +9,18 @@ shorter context is one pair of numbers a context, and the code length of a symbo
 full context is a value of that (context, symbol) pair alone.
 
 Documents are dealt into blocks by a hash. A block sends each distinct pair and word once
-with its count; buckets sum the counts, which grow with the corpus, and return to each
-block the values of the pairs and words it has. Nothing is collected but sums over at
-most 257 x 257 pairs of symbols, so memory is bounded by block and bucket at any size.
-
-Defined cases: a null or empty text is the end symbol alone; a document with a null
-doc_id is trained on; without training documents every symbol has probability 1/257;
-repeated rows are each trained on and scored; an empty table gives none."""
+with its count. Pairs go to buckets by the last LONG symbols of their context, so that a
+bucket has the two longest orders whole, and no context brings more than 257 x 257 pairs a
+block, however frequent it is. A bucket sums the counts and sends the pairs of the shorter
+orders on, once for the whole corpus, to buckets of these; from them it gets what coding
+after an escape costs, and returns to each block the values of the pairs and words it has.
+The texts are exchanged once, for sending and for scoring. A first pass over the table
+counts words and the last two symbols; only its sums, 257 x 257 at most, reach the driver.
+
+Defined cases: a null or empty text is the end symbol alone; a very long text is a step of
+its own in its block; a document with a null doc_id is trained on; without training
+documents every symbol has probability 1/257; repeated rows are each trained on and scored;
+an empty table gives none. Other columns of the input, whatever their names, are ignored."""
 
 from __future__ import annotations
 
@@ -26,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import WordHasher, cut, free_shuffles, held, joined, pack_sorted, pack_uints, runs, text_bytes, unpack_sorted, unpack_uints
+from tallyloom.llm.common import WordHasher, cut, drop_cut, held, joined, pack_sorted, pack_uints, runs, text_bytes, unpack_sorted, unpack_uints
 
-#: Symbols of the longest context; bytes of text in a block, and for a bucket of counts.
-ORDER, BLOCK_BYTES, BUCKET_BYTES = 5, 14 << 20, 16 << 20
+#: Symbols of the longest context, and of the shortest that a bucket of pairs has whole; bytes of text in a block, for a bucket of counts, and for one of shorter contexts.
+ORDER, LONG, BLOCK_BYTES, BUCKET_BYTES, SHORT_BYTES = 5, 4, 14 << 20, 16 << 20, 64 << 20
 #: A byte is its own symbol; the symbol of a text's end also stands before its start.
 END, SYMBOLS, BITS = 256, 257, 9
 WORDS, PAIRS = 0, 1
@@ -81,10 +86,10 @@ def _distinct(values: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.nda
     return values[first], np.add.reduceat(learn.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
 
 
-def _family(pairs: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of a pair: by the last two symbols of its context, so that every context from two symbols on is whole there."""
-    context = ((pairs >> BITS) & ((1 << 2 * BITS) - 1)).astype(np.uint64)
-    return (((context * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+def _family(pairs: np.ndarray, buckets: int, symbols: int) -> np.ndarray:
+    """The bucket of a pair, by the last symbols of its context: every context of as many or more is whole there."""
+    context = ((pairs >> BITS) & ((1 << symbols * BITS) - 1)).astype(np.uint64)
+    return (((context * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
 _SENT = "kind int, bucket int, block int, keys binary, counts binary"
@@ -117,107 +122,231 @@ def _sender(word_bits: int, pair_buckets: int) -> Callable[[tuple, pa.Table], pa
         k, n = _summed(*words, np.uint64)
         out += _rows(WORDS, block, (k >> np.uint64(64 - word_bits)).astype(np.int64) if word_bits else np.zeros(len(k), np.int64), k, n)
         k, n = _summed(*pairs, np.int64)
-        out += _rows(PAIRS, block, _family(k, pair_buckets), k, n)
+        out += _rows(PAIRS, block, _family(k, pair_buckets, LONG), k, n)
         return _table(out, ["kind", "bucket", "block", "keys", "counts"], [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()])
 
     return run
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]):
-    """kind, sums and what each block sent, bucket by bucket."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = batch.slice(i, 1).to_pylist()[0]
-            sent = [(x["block"], x["keys"], x["counts"]) for x in row["sent"]]
-            yield row["kind"], *_summed([unpack_sorted(k) for _, k, _ in sent], [unpack_uints(n) for _, _, n in sent], np.uint64), sent
+def _added(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and sums of counts of what was sent to one bucket."""
+    return _summed([unpack_sorted(x) for x in table["keys"].to_pylist()], [unpack_uints(x) for x in table["counts"].to_pylist()], np.uint64)
+
+
+def _counter(word_bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of training texts: counts of the last two symbols, and words with their distinct hashes a bucket."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, last = WordHasher(lower=True), np.zeros(1 << 2 * BITS, np.int64)
+        words, found = 0, [np.zeros(0, np.uint64)]
+
+        def flushed(found: list[np.ndarray], words: int) -> pa.RecordBatch:
+            known = np.unique(np.concatenate(found))
+            bucket = (known >> np.uint64(64 - word_bits)).astype(np.int64) if word_bits else np.zeros(len(known), np.int64)
+            rows = [(-1 - int(bucket[at]), 0, pack_sorted(known[at:to])) for at, to in runs(bucket)] + [(-1, words, None)]
+            return _table(rows, ["last", "n", "keys"], [pa.int64(), pa.int64(), pa.binary()]).combine_chunks().to_batches()[0]
+
+        for batch in batches:
+            for part in held(batch, "text"):
+                raw, at = joined(part.column("text"))
+                h, _ = hasher(raw, at)
+                words += len(h)
+                found.append(np.unique(h))
+                pairs, _ = pairs_of(raw, at)
+                last += np.bincount(pairs & ((1 << 2 * BITS) - 1), minlength=len(last))
+                if sum(map(len, found)) > 1 << 21:
+                    yield flushed(found, words)
+                    words, found = 0, found[:1]
+        yield flushed(found, words)
+        rows = np.flatnonzero(last)
+        yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(last[rows]), pa.nulls(len(rows), pa.binary())], names=["last", "n", "keys"])
+
+    return run
 
-def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each bucket: sum and number of words that training documents have, or counts by the last two symbols."""
-    for kind, keys, counts, _ in _buckets(batches):
-        keys, counts = keys[counts > 0], counts[counts > 0]
-        if kind == WORDS:
-            rows = [(kind, 0, int(counts.sum()), len(counts))]
+
+def _different(key: tuple, table: pa.Table) -> pa.Table:
+    parts = [unpack_sorted(x) for x in table["keys"].to_pylist()]
+    return pa.table({"n": pa.array([len(np.unique(np.concatenate(parts)))], pa.int64())})
+
+
+def statistics(rows: DataFrame, word_bits: int) -> tuple[int, int, np.ndarray]:
+    """Words, different words and counts of the last two symbols of the training texts; at most 257 * 257 + 1 rows are collected."""
+    counted = cut(rows.filter("learn").select("text").mapInArrow(_counter(word_bits), "last long, n long, keys binary"))
+    last = np.zeros((SYMBOLS, SYMBOLS), np.int64)
+    words = 0
+    for r in counted.filter("keys is null").groupBy("last").agg(F.sum("n").alias("n")).collect():
+        if r["last"] < 0:
+            words = r["n"]
         else:
-            last, n = _summed([keys & np.uint64((1 << 2 * BITS) - 1)], [counts], np.uint64)
-            rows = [(kind, int(a), int(b), 0) for a, b in zip(last, n, strict=True)]
-        yield from _table(rows, ["kind", "last", "n", "distinct"], [pa.int32(), pa.int64(), pa.int64(), pa.int64()]).to_batches()
+            last[r["last"] >> BITS, r["last"] & (1 << BITS) - 1] = r["n"]
+    different = counted.filter("keys is not null").groupBy("last").applyInArrow(_different, "n long").agg(F.sum("n")).first()[0]
+    drop_cut(counted)
+    return words, different or 0, last
 
 
 class Trie:
-    """Counts of the trie's deepest level, of whole families, with the counts of contexts of
-    one symbol and none from the whole corpus; log10 probabilities of (context, symbol)."""
+    """Counts of contexts from some order down, of whole families. With last, orders 1 and 0
+    come from the whole corpus and the trie reaches the bottom; without, it ends at order LONG."""
 
-    def __init__(self, pairs: np.ndarray, counts: np.ndarray, last: np.ndarray):
+    def __init__(self, pairs: np.ndarray, counts: np.ndarray, last: np.ndarray | None, top: int):
         pairs, counts = pairs[counts > 0].astype(np.int64), counts[counts > 0]
-        self.keys, self.counts = [None] * (ORDER + 1), [None] * (ORDER + 1)
-        for k in range(ORDER, 1, -1):
+        self.top, self.low = top, LONG if last is None else 0
+        self.keys, self.counts = [None] * (top + 1), [None] * (top + 1)
+        for k in range(top, max(self.low, 2) - 1, -1):
             self.keys[k], self.counts[k] = _summed([pairs & ((1 << (k + 1) * BITS) - 1)], [counts], np.int64)
-        full = np.argwhere(last > 0)
-        self.keys[1], self.counts[1] = full[:, 0] << BITS | full[:, 1], last[full[:, 0], full[:, 1]]
-        ends = last.sum(axis=0)
-        self.keys[0], self.counts[0] = np.flatnonzero(ends), ends[ends > 0]
+        if last is not None:
+            full = np.argwhere(last > 0)
+            self.keys[1], self.counts[1] = full[:, 0] << BITS | full[:, 1], last[full[:, 0], full[:, 1]]
+            ends = last.sum(axis=0)
+            self.keys[0], self.counts[0] = np.flatnonzero(ends), ends[ends > 0]
         # for each context: what all its symbols total, and how many they are; the same without what the next longer context knows
-        self.contexts, self.total, self.distinct, self.rest, self.others = [], [], [], [], []
-        for k in range(ORDER + 1):
+        none = [None] * (top + 1)
+        self.contexts, self.total, self.distinct, self.rest, self.others = none[:], none[:], none[:], none[:], none[:]
+        for k in range(self.low, top + 1):
             contexts, back = np.unique(self.keys[k] >> BITS, return_inverse=True)
-            self.contexts.append(contexts)
-            self.total.append(np.bincount(back, self.counts[k], len(contexts)).astype(np.int64))
-            self.distinct.append(np.bincount(back, minlength=len(contexts)))
-            if k:
+            self.contexts[k] = contexts
+            self.total[k] = np.bincount(back, self.counts[k], len(contexts)).astype(np.int64)
+            self.distinct[k] = np.bincount(back, minlength=len(contexts))
+            if k > self.low:
                 short = k - 1
                 known = self.counts[short][np.searchsorted(self.keys[short], self.keys[k] & ((1 << k * BITS) - 1))]
                 up = np.searchsorted(self.contexts[short], contexts & ((1 << short * BITS) - 1))
-                self.rest.append(self.total[short][up] - np.bincount(back, known, len(contexts)).astype(np.int64))
-                self.others.append(self.distinct[short][up] - self.distinct[k])
+                self.rest[short] = self.total[short][up] - np.bincount(back, known, len(contexts)).astype(np.int64)
+                self.others[short] = self.distinct[short][up] - self.distinct[k]
 
     @staticmethod
-    def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(keys):
             return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
         at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
         return at, keys[at] == wanted
 
-    def log10(self, pairs: np.ndarray) -> np.ndarray:
+    def log10(self, pairs: np.ndarray, escaped: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 of what coding each pair's symbol costs within the trie's orders; which pairs
+        are not coded there, and the lowest order's context of each of those, or -1. escaped:
+        each pair's longest context, if it is known, has been escaped from already."""
         out = np.zeros(len(pairs))
         left = np.arange(len(pairs))
         longer = np.full(len(pairs), -1)  # the longer context's index, if it is known
-        for k in range(ORDER, -1, -1):
+        for k in range(self.top, self.low - 1, -1):
             wanted = pairs[left] & ((1 << (k + 1) * BITS) - 1)
-            here, known = self._find(self.contexts[k], wanted >> BITS)
+            here, known = self.find(self.contexts[k], wanted >> BITS)
+            if escaped and k == self.top:
+                longer = np.where(known, here, -1)
+                continue
             total, distinct = np.zeros(len(left)), np.zeros(len(left))
             if len(self.contexts[k]):
                 total, distinct = self.total[k][here].astype(float), self.distinct[k][here].astype(float)
                 over = longer >= 0
-                if k < ORDER and over.any():
+                if k < self.top and over.any():
                     total[over], distinct[over] = self.rest[k][longer[over]], self.others[k][longer[over]]
-            spot, hit = self._find(self.keys[k], wanted)
+            spot, hit = self.find(self.keys[k], wanted)
             if hit.any():
                 out[left[hit]] += np.log10((self.counts[k][spot[hit]] - 0.5) / total[hit])
             missed = known & ~hit & (distinct > 0)
             out[left[missed]] += np.log10(0.5 * distinct[missed] / total[missed])
             longer = np.where(known, here, -1)[~hit]
             left = left[~hit]
-        out[left] -= np.log10(max(1, SYMBOLS - len(self.keys[0])))
-        return out
+        if self.low == 0:
+            out[left] -= np.log10(max(1, SYMBOLS - len(self.keys[0])))
+        return out, left, longer
 
 
-_ANSWER = "kind int, block int, keys binary, values binary"
+_SHORT = (1 << LONG * BITS) - 1
 
 
-def _resolver(last: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for kind, keys, counts, sent in _buckets(batches):
-            values = counts if kind == WORDS else Trie(keys, counts, last).log10(keys.astype(np.int64)).astype(np.float32)
-            rows = []
-            for block, raw, _ in sent:
-                own = values[np.searchsorted(keys, unpack_sorted(raw))]
-                rows.append((kind, block, raw, pack_uints(own) if kind == WORDS else own.tobytes()))
-            yield from _table(rows, ["kind", "block", "keys", "values"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()]).to_batches()
+def _asked(trie: Trie, pairs: np.ndarray) -> np.ndarray:
+    """The pairs of order LONG - 1 that matter to what the trie doesn't code: theirs, and all that their known contexts hold."""
+    _, left, context = trie.log10(pairs)
+    escaped = np.zeros(len(trie.contexts[LONG]), bool)
+    escaped[context[context >= 0]] = True
+    own = trie.keys[LONG][escaped[np.searchsorted(trie.contexts[LONG], trie.keys[LONG] >> BITS)]] if len(trie.contexts[LONG]) else np.zeros(0, np.int64)
+    return np.unique(np.concatenate([pairs[left] & _SHORT, own & _SHORT]))
+
+
+_PASSED = "short int, bucket int, keys binary, counts binary, asked binary"
+
+
+def _passer(shorts: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    """What one bucket of pairs sends on: summed pairs of order LONG - 1, and those that it asks about."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        rows = []
+        if key[0].as_py() == PAIRS:
+            pairs, counts = _added(table)
+            pairs = pairs.astype(np.int64)
+            asked = _asked(Trie(pairs, counts, None, ORDER), pairs)
+            some, n = _summed([pairs[counts > 0] & _SHORT], [counts[counts > 0]], np.int64)
+            to, ask = _family(some, shorts, 2), _family(asked, shorts, 2)
+            for b in np.union1d(to, ask).tolist():
+                rows.append((b, key[1].as_py(), pack_sorted(some[to == b].astype(np.uint64)), pack_uints(n[to == b].astype(np.uint64)), pack_sorted(asked[ask == b].astype(np.uint64))))
+        return _table(rows, ["short", "bucket", "keys", "counts", "asked"], [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])
 
     return run
 
 
+_TOLD = "kind int, bucket int, asked binary, counts binary, totals binary, distincts binary, logs binary"
+
+
+def _teller(last: np.ndarray) -> Callable[[tuple, pa.Table], pa.Table]:
+    """For every pair asked about: its count, its context's total and number of symbols, and what its symbol costs once that context is escaped from."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        trie, rows = Trie(*_added(table), last, LONG - 1), []
+        for bucket, raw in zip(table["bucket"].to_pylist(), table["asked"].to_pylist(), strict=True):
+            asked = unpack_sorted(raw).astype(np.int64)
+            spot, hit = trie.find(trie.keys[LONG - 1], asked)
+            here, known = trie.find(trie.contexts[LONG - 1], asked >> BITS)
+            numbers = [np.where(ok, x[at] if len(x) else 0, 0).astype(np.uint64) for ok, x, at in ((hit, trie.counts[LONG - 1], spot), (known, trie.total[LONG - 1], here), (known, trie.distinct[LONG - 1], here))]
+            rows.append((PAIRS, bucket, raw, *map(pack_uints, numbers), trie.log10(asked, escaped=True)[0].astype(np.float32).tobytes()))
+        return _table(rows, ["kind", "bucket", "asked", "counts", "totals", "distincts", "logs"], [pa.int32(), pa.int32()] + [pa.binary()] * 5)
+
+    return run
+
+
+def _resolved(pairs: np.ndarray, counts: np.ndarray, told: pa.Table) -> np.ndarray:
+    """log10 probabilities of all pairs of one bucket."""
+    trie = Trie(pairs, counts, None, ORDER)
+    out, left, context = trie.log10(pairs)
+    if not len(left):
+        return out
+    column = lambda name, read: np.concatenate([read(x) for x in told[name].to_pylist()])
+    asked = column("asked", unpack_sorted).astype(np.int64)
+    order = np.argsort(asked, kind="stable")
+    asked, n, total, distinct, logs = (x[order] for x in (asked, *(column(c, unpack_uints).astype(float) for c in ("counts", "totals", "distincts")), column("logs", lambda x: np.frombuffer(x, np.float32))))
+    at = np.searchsorted(asked, pairs[left] & _SHORT)
+    total, distinct, n, logs = total[at], distinct[at], n[at], logs[at].astype(float)
+    # What a known context of order LONG holds is taken from the shorter one.
+    over = context >= 0
+    if over.any():
+        spot, known = trie.find(asked, trie.keys[LONG] & _SHORT)
+        held_counts = np.where(known, column("counts", unpack_uints).astype(float)[order][spot], 0)
+        gone = np.bincount(np.searchsorted(trie.contexts[LONG], trie.keys[LONG] >> BITS), held_counts, len(trie.contexts[LONG]))
+        total[over] -= gone[context[over]]
+        distinct[over] -= trie.distinct[LONG][context[over]]
+    hit, missed = n > 0, (n == 0) & (distinct > 0)
+    out[left[hit]] += np.log10((n[hit] - 0.5) / total[hit])
+    out[left[missed]] += np.log10(0.5 * distinct[missed] / total[missed])
+    out[left[~hit]] += logs[~hit]
+    return out
+
+
+_ANSWER = "kind int, block int, keys binary, values binary"
+
+
+def _resolve(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
+    """The values of what each block sent to one bucket: counts of words, log10 probabilities of pairs."""
+    rows = []
+    if table.num_rows:
+        kind = table["kind"][0].as_py()
+        keys, counts = _added(table)
+        values = counts if kind == WORDS else _resolved(keys.astype(np.int64), counts, told).astype(np.float32)
+        for block, raw in zip(table["block"].to_pylist(), table["keys"].to_pylist(), strict=True):
+            own = values[np.searchsorted(keys, unpack_sorted(raw))]
+            rows.append((kind, block, raw, pack_uints(own) if kind == WORDS else own.tobytes()))
+    return _table(rows, ["kind", "block", "keys", "values"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
+
+
 def _scorer(ends: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
     def lookup(answers: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
         rows = [(k, v) for t, k, v in zip(answers["kind"].to_pylist(), answers["keys"].to_pylist(), answers["values"].to_pylist(), strict=True) if t == kind]
@@ -258,32 +387,23 @@ def _scorer(ends: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
     return run
 
 
-def score(docs: DataFrame, learn: Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, learn: Column, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, short_bytes: int = SHORT_BYTES) -> DataFrame:
     """learn: over doc_id, which documents are trained on; the others are held out. doc_id,
     held_out, n_tokens, n_known, train_tokens, base_score (words alone) and score (log10
     probability of the text's bytes, A-Z in lower case, and its end)."""
-    spark = docs.sparkSession
     size = text_bytes(docs)
-    blocks = max(1, -(-size // block_bytes))
-    buckets = max(1, -(-size // BUCKET_BYTES))
+    blocks, buckets, shorts = (max(1, -(-size // x)) for x in (block_bytes, bucket_bytes, short_bytes))
     word_bits = (buckets - 1).bit_length()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), learn.alias("learn"))
+    ends = rows.filter("learn").count()
+    words, different, last = statistics(rows, word_bits)
+    tokens, vocabulary = words + ends, different + int(ends > 0)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    ends = docs.filter(learn).count()
+    # One job: the texts are exchanged once, for sending and for scoring, and what was sent once, for passing on and for resolving.
     sent = rows.groupBy("block").applyInArrow(_sender(word_bits, buckets), _SENT)
-    # A row a bucket, written once: what follows reads it without another exchange.
-    sent = cut(sent.groupBy("kind", "bucket").agg(F.collect_list(F.struct("block", "keys", "counts")).alias("sent")).select("kind", "sent"))
-    free_shuffles(spark)
-    found = sent.mapInArrow(_statistics, "kind int, last long, n long, distinct long")
-    found = found.groupBy("kind", "last").agg(F.sum("n").alias("n"), F.sum("distinct").alias("distinct")).collect()  # at most 257 * 257 + 1 rows
-    last = np.zeros((SYMBOLS, SYMBOLS), np.int64)
-    tokens, vocabulary = ends, int(ends > 0)
-    for r in found:
-        if r["kind"] == WORDS:
-            tokens, vocabulary = tokens + r["n"], vocabulary + r["distinct"]
-        else:
-            last[r["last"] >> BITS, r["last"] & (1 << BITS) - 1] = r["n"]
-    answers = sent.mapInArrow(_resolver(last), _ANSWER)
+    passed = sent.groupBy("kind", "bucket").applyInArrow(_passer(shorts), _PASSED)
+    told = passed.groupBy("short").applyInArrow(_teller(last), _TOLD)
+    answers = sent.groupBy("kind", "bucket").cogroup(told.groupBy("kind", "bucket")).applyInArrow(_resolve, _ANSWER)
     scored = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scorer(ends), "doc_id long, held_out boolean, n_tokens long, n_known long, raw_score double, score double")
     per = float(np.log10(tokens + 0.1 * (vocabulary + 1)))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), (F.col("raw_score") - F.col("n_tokens") * F.lit(per)).alias("base_score"), "score")

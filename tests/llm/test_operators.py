@@ -278,7 +278,7 @@ def test_scoring(docs, none):
     train = [(t or "").encode() for i, t in every if not out(i)]
     c, ends = Counter(w for t in train for w in t.lower().split()), len(train)
     n, v = sum(c.values()) + ends, len(c) + 1
-    got = scoring.score(docs, learn, block_bytes=20_000).collect()
+    got = scoring.score(docs, learn, block_bytes=20_000, bucket_bytes=30_000, short_bytes=70_000).collect()
     assert len(got) == len(every) and {r["train_tokens"] for r in got} == {n}
     for i, t in every:
         if len(t or "") > 2000:
