@@ -71,19 +71,27 @@ def _parts(table: pa.Table):
         yield from held(batch, "text")
 
 
+def _grouped_sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(keys):
+        return keys, np.zeros(0, np.int64)
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(counts.astype(np.int64), first)
+
+
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray], dtype) -> tuple[np.ndarray, np.ndarray]:
     if not keys:
         return np.zeros(0, dtype), np.zeros(0, np.int64)
-    every, back = np.unique(np.concatenate(keys), return_inverse=True)
-    return every, np.bincount(back, np.concatenate(counts), len(every)).astype(np.int64)
+    return _grouped_sums(np.concatenate(keys), np.concatenate(counts))
 
 
-def _distinct(values: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values and how often each occurs where learn holds."""
-    order = np.argsort(values, kind="stable")
-    values, learn = values[order], learn[order]
-    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
-    return values[first], np.add.reduceat(learn.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+def _values(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The value of each wanted key, all of them known; looked up in order, which stays in the cache."""
+    out = np.empty(len(wanted), values.dtype)
+    order = np.argsort(wanted)
+    out[order] = values[np.searchsorted(keys, wanted[order])] if len(wanted) else values[:0]
+    return out
 
 
 def _family(pairs: np.ndarray, buckets: int, symbols: int) -> np.ndarray:
@@ -116,7 +124,7 @@ def _sender(word_bits: int, pair_buckets: int) -> Callable[[tuple, pa.Table], pa
             h, rows = hasher(raw, at)
             p, begin = pairs_of(raw, at)
             for store, values, lengths in ((words, h, np.diff(rows)), (pairs, p, np.diff(begin))):
-                for s, x in zip(store, _distinct(values, np.repeat(learn, lengths)), strict=True):
+                for s, x in zip(store, _grouped_sums(values, np.repeat(learn, lengths)), strict=True):
                     s.append(x)
         block, out = key[0].as_py(), []
         k, n = _summed(*words, np.uint64)
@@ -363,11 +371,10 @@ def _scorer(ends: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
         hasher, out = WordHasher(lower=True), []
         words, counts = lookup(answers, WORDS)
         pairs, chances = lookup(answers, PAIRS)
-        logs = np.log10(counts + 0.1)
         for part in _parts(docs) if docs.num_rows else ():
             raw, at = joined(part.column("text"))
             h, rows = hasher(raw, at)
-            spot = np.searchsorted(words, h)
+            n = _values(words, counts, h)
             p, begin = pairs_of(raw, at)
             out.append(
                 pa.record_batch(
@@ -375,9 +382,9 @@ def _scorer(ends: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
                         "doc_id": part.column("doc_id"),
                         "held_out": pa.compute.invert(part.column("learn")),
                         "n_tokens": pa.array(np.diff(rows) + 1, pa.int64()),
-                        "n_known": pa.array(sums(counts[spot] > 0, rows).astype(np.int64) + int(ends > 0), pa.int64()),
-                        "raw_score": pa.array(sums(logs[spot], rows) + np.log10(ends + 0.1), pa.float64()),
-                        "score": pa.array(sums(chances[np.searchsorted(pairs, p.astype(np.uint64))], begin), pa.float64()),
+                        "n_known": pa.array(sums(n > 0, rows).astype(np.int64) + int(ends > 0), pa.int64()),
+                        "raw_score": pa.array(sums(np.log10(n + 0.1), rows) + np.log10(ends + 0.1), pa.float64()),
+                        "score": pa.array(sums(_values(pairs, chances, p.astype(np.uint64)), begin), pa.float64()),
                     }
                 )
             )
