@@ -205,13 +205,41 @@ def test_packing(docs, none):
     assert packing.pack_sequences(none).count() == 0
 
 
-def test_substrings(docs, none):
-    for block_bytes in (1 << 20, 3000):
-        got = sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substrings.remove_repeats(docs, block_bytes=block_bytes, bucket_edges=500).collect()), key=key)
-        assert got == sorted(substrings.brute_force(texts(docs)), key=key)
+def substring_rows(docs, **settings):
+    found = substrings.remove_repeats(docs, **settings).collect()
+    return found, sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in found), key=key)
+
+
+@pytest.mark.parametrize("settings", [{"block_bytes": 1 << 20}, {"block_bytes": 3000}, {"block_bytes": 3000, "node_bits": 2}])
+def test_substrings(docs, none, settings):
+    """Also where keys of nodes collide nearly always."""
+    found, got = substring_rows(docs, bucket_edges=500, **settings)
+    assert got == sorted(substrings.brute_force(texts(docs)), key=key)
+    text = {}
+    for i, t in texts(docs):
+        text.setdefault(i, []).append((t or "").split())
+    for r in found:  # every span, word by word at its source
+        for x in r["spans"]:
+            n = x["end"] - x["start"]
+            assert n >= 13 and x["source"] < r["doc_id"]
+            assert any(a[x["start"] : x["end"]] == b[x["source_start"] : x["source_start"] + n] for a in text[r["doc_id"]] for b in text[x["source"]])
     assert substrings.remove_repeats(none).count() == 0
 
 
+def test_substrings_of_branching_texts(spark):
+    """Random walks over few words, with loops, branches, and passages that begin and end anywhere."""
+    rng = np.random.default_rng(4)
+    base = [f"b{i}" for i in rng.integers(0, 40, 400)]
+    data = []
+    for i in range(120):
+        a, b, c, d = sorted(rng.integers(0, 400, 4))
+        words = base[a:b] + [f"n{i}"] * int(rng.integers(0, 3)) + base[c:d] + ["loop"] * int(rng.integers(0, 40))
+        data.append((int(rng.integers(-20, 60)), " ".join(words)))
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    for settings in ({}, {"block_bytes": 4000, "bucket_edges": 200}, {"block_bytes": 4000, "bucket_edges": 200, "k": 4}):
+        assert substring_rows(df, **settings)[1] == sorted(substrings.brute_force(data, settings.get("k", 13)), key=key)
+
+
 def test_near_duplicates(docs, none):
     want = sorted(neardup.brute_force(texts(docs)), key=key)
     for leaf in (192, 8):
