@@ -1,18 +1,23 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max
 inverted index, distance-weighted votes, calibrated on the examples themselves.
 
-Terms are a text's words and their heads of 4 to 7 letters; those that tell the two
-classes apart on the examples (chi-square) make up the vectors, with the root of their
-share of the text's words for frequency, and one more term stands for all the other
-words, so that a cue counts for less in a longer text. The index holds a bounded,
-documented sample of the labelled rows (EXAMPLES of each class, by a hash of doc_id), so
-it can be sent to every executor; every document is scored in one pass without a shuffle.
+Terms are a text's words and their heads of 4 to 7 letters; all that tell the two classes
+apart on the examples (chi-square) make up the vectors, with the root of their share of the
+text's words for frequency, and one more term stands for all the other words, so that a cue
+counts for less in a longer text. Its weight is the one of OTHERS whose votes, each example
+left out in turn, give the examples' labels the highest likelihood. The index holds a
+bounded, documented sample of the labelled rows (EXAMPLES of each class, by a hash of
+doc_id), so it can be sent to every executor; every document is scored in one pass without a
+shuffle. Blocks of the index hold examples whose weightiest terms are the same; only those
+whose bound reaches the kth best cosine so far are opened.
 
 Defined cases: a null or empty text, or one without any of the terms, gets the share of
-toxic documents that such examples have; labels that are null, or whose document isn't
-there, teach nothing; a document labelled twice is toxic if any of its labels is; equal
-similarities rank by doc_id; repeated rows are scored each; with no usable examples every
-score is 0. An empty table gives none; other columns of the input are ignored."""
+toxic documents that such examples have; a very long text is counted whole, like any other;
+labels that are null, or whose document isn't there, teach nothing; a document labelled
+twice is toxic if any of its labels is; of a doc_id with several texts the smallest one
+teaches; equal similarities rank by doc_id; repeated rows are scored each; with no usable
+examples every score is 0. An empty table gives none; other columns of the input, whatever
+their names, are ignored by score and carried by without_toxic."""
 
 from __future__ import annotations
 
@@ -29,10 +34,10 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.common import held
 
-#: Labelled rows of each class in the sample, terms in the index, least chi-square of a term, neighbours that vote, documents in a block of the index.
-EXAMPLES, TERMS, LEAST_CHI, NEIGHBOURS, BLOCK = 2000, 1024, 30.0, 15, 32
-#: Weight of the term for all other words; least score of a toxic text; letters of a head; least examples of a term.
-OTHERS, THRESHOLD, HEADS, LEAST_TEXTS = 0.4, 0.3, (4, 5, 6, 7), 4
+#: Labelled rows of each class in the sample, least chi-square of a term, neighbours that vote, documents in a block of the index.
+EXAMPLES, LEAST_CHI, NEIGHBOURS, BLOCK = 2000, 30.0, 15, 16
+#: Weights to choose from for the term for all other words; least score of a toxic text; letters of a head; least examples of a term.
+OTHERS, THRESHOLD, HEADS, LEAST_TEXTS = (0.1, 0.2, 0.4, 0.8), 0.3, (4, 5, 6, 7), 4
 _LETTERS = re.compile(r"[^\W\d_]+").findall
 
 
@@ -72,19 +77,21 @@ def counted(text: str | None, vocabulary: dict[str, int] | None = None, begin: f
 
 @dataclass
 class Index:
-    """Examples in order of doc_id, dealt into blocks. For each term: the examples that
-    have it with their weights, and the largest weight in each block."""
+    """Examples dealt into blocks. For each term: the examples that have it with their
+    weights, where those of each block begin, and the largest weight in each block."""
 
     vocabulary: dict[str, int]
     idf: np.ndarray
     ids: np.ndarray
     toxic: np.ndarray
     share: float  # of toxic documents among the labelled ones
-    postings: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+    postings: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    begins: np.ndarray = field(default_factory=lambda: np.zeros((0, 1), np.int64))
     tops: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
-    inside = np.arange(BLOCK)
     bare: float = 0.0  # score of a text without terms
     curve: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.zeros(1))
+    opened: int = 0  # blocks so far
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights of length 1; the last term is the one for other words."""
@@ -93,14 +100,24 @@ class Index:
         return t, w / math.sqrt(float((w * w).sum()))
 
     def add(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        rows = [[] for _ in self.idf]
-        for i, (t, w) in enumerate(vectors):
-            for a, b in zip(t.tolist(), w.tolist(), strict=True):
-                rows[a].append((i, b))
-        self.postings = [(np.array([r[0] for r in x], np.int64), np.array([r[1] for r in x])) for x in rows]
-        self.tops = np.zeros((len(self.idf), -(-len(vectors) // BLOCK)))
-        for k, (at, w) in enumerate(self.postings):
-            np.maximum.at(self.tops[k], at // BLOCK, w)
+        sizes = [len(t) for t, _ in vectors]
+        owner = np.repeat(np.arange(len(vectors)), sizes)
+        term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in vectors)])
+        order = np.lexsort((owner, term))
+        self.postings, self.weights = owner[order], np.concatenate([np.zeros(0), *(w for _, w in vectors)])[order]
+        blocks = -(-len(vectors) // BLOCK)
+        cell = term[order] * (blocks + 1) + self.postings // BLOCK
+        self.begins = np.searchsorted(cell, np.arange(len(self.idf) * (blocks + 1))).reshape(len(self.idf), blocks + 1)
+        self.tops = np.zeros((len(self.idf), blocks))
+        np.maximum.at(self.tops, (term[order], self.postings // BLOCK), self.weights)
+
+    def _cosines(self, t: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Cosines of all examples of some blocks, from those blocks' postings alone."""
+        begin, end = self.begins[t][:, blocks].ravel(), self.begins[t][:, blocks + 1].ravel()
+        n = end - begin
+        at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+        slot = np.repeat(np.tile(np.arange(len(blocks)), len(t)), n) * BLOCK + self.postings[at] % BLOCK
+        return np.bincount(slot, self.weights[at] * np.repeat(np.repeat(w, len(blocks)), n), len(blocks) * BLOCK)
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, but: int = -1) -> list[tuple[float, int]]:
         """The k examples of highest cosine above 0, ties to the smaller doc_id, exactly:
@@ -110,24 +127,21 @@ class Index:
         bounds = w @ self.tops[t]
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
-        dense = np.zeros(len(self.tops[0]) * BLOCK)
-        for i, q in zip(t.tolist(), w.tolist(), strict=True):
-            at, x = self.postings[i]
-            dense[at] += q * x
-        if but >= 0:
-            dense[but] = 0
         best, scores = np.zeros(0, np.int64), np.zeros(0)
-        opened, group = 0, 8
-        while opened < len(order) and not (len(best) >= k and bounds[order[opened]] < scores[k - 1] - 1e-9):
-            rows = (order[opened : opened + group, None] * BLOCK + self.inside).ravel()
-            best = np.concatenate([best, rows[dense[rows] > 0]])
-            scores = np.round(dense[best], 12)
+        at, group = 0, 4
+        while at < len(order) and not (len(best) >= k and bounds[order[at]] < scores[k - 1] - 1e-9):
+            blocks = order[at : at + group]
+            cosines = self._cosines(t, w, blocks)
+            rows = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            there = (cosines > 0) & (rows != but)
+            best, scores = np.concatenate([best, rows[there]]), np.concatenate([scores, np.round(cosines[there], 12)])
             if len(best) > k:  # no row under the kth best value can stay
                 keep = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
                 best, scores = best[keep], scores[keep]
-            first = np.lexsort((best, -scores))[:k]
+            first = np.lexsort((best, self.ids[best], -scores))[:k]
             best, scores = best[first], scores[first]
-            opened, group = opened + group, group * 4
+            at, group = at + group, group * 2
+            self.opened += len(blocks)
         return list(zip(scores.tolist(), best.tolist(), strict=True))
 
     def vote(self, near: list[tuple[float, int]]) -> float:
@@ -146,16 +160,16 @@ class Index:
         near = self.nearest(*self.vector(counts))
         if not near:
             return self.bare, []
-        return float(np.interp(self.vote(near), *self.curve)), near
+        return float(np.interp(round(self.vote(near), 9), *self.curve)), near
 
 
 def _calibrated(votes: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A nondecreasing curve from votes to shares of toxic weight (pool adjacent violators),
-    each step drawn a little to the middle so that no score claims certainty."""
-    order = np.argsort(votes, kind="stable")
+    each step drawn a little to the middle so that no score claims certainty. Equal votes are one step."""
+    steps, back = np.unique(np.round(votes, 9), return_inverse=True)
     pools: list[list[float]] = []
-    for x, y, w in zip(votes[order].tolist(), toxic[order].tolist(), weight[order].tolist(), strict=True):
-        pools.append([x, x, y * w, w])
+    for x, y, w in zip(steps.tolist(), np.bincount(back, toxic * weight).tolist(), np.bincount(back, weight).tolist(), strict=True):
+        pools.append([x, x, y, w])
         while len(pools) > 1 and pools[-2][2] * pools[-1][3] >= pools[-1][2] * pools[-2][3]:
             a, b = pools.pop(-2), pools.pop()
             pools.append([a[0], b[1], a[2] + b[2], a[3] + b[3]])
@@ -183,6 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, teaches: Column, examples: int = EXA
     spark = docs.sparkSession
     sample = F.broadcast(spark.createDataFrame(picked, "doc_id long, toxic int"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id")
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # so at most `examples` of each class, however often a doc_id occurs
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,8 +210,8 @@ def fit(docs: DataFrame, labels: DataFrame, teaches: Column, examples: int = EXA
     per = each.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b"))
     a, b, c, d = F.col("a"), F.col("b"), n1 - F.col("a"), n0 - F.col("b")
     chi = (n1 + n0) * (a * d - b * c) * (a * d - b * c) / F.nullif((a + b) * (c + d) * n1 * n0, F.lit(0.0))
-    best = per.withColumn("chi", chi).filter((F.col("chi") >= LEAST_CHI) & (F.col("a") + F.col("b") >= LEAST_TEXTS)).orderBy(F.desc("chi"), "term").limit(TERMS).select("term").collect()
-    vocabulary = {r["term"]: i for i, r in enumerate(best)}
+    best = per.withColumn("chi", chi).filter((F.col("chi") >= LEAST_CHI) & (F.col("a") + F.col("b") >= LEAST_TEXTS)).select("term").collect()
+    vocabulary = {t: i for i, t in enumerate(sorted(r["term"] for r in best))}
     begin = beginnings(vocabulary)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,25 +221,43 @@ def fit(docs: DataFrame, labels: DataFrame, teaches: Column, examples: int = EXA
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array([list(r) for r in rows], pa.list_(pa.int32())), pa.array([list(r.values()) for r in rows], pa.list_(pa.int32()))], names=["doc_id", "toxic", "t", "n"])
 
     rows = texts.mapInArrow(vectors, "doc_id long, toxic int, t array<int>, n array<int>").collect()
-    rows = sorted({(r["doc_id"], r["toxic"], tuple(r["t"]), tuple(r["n"])) for r in rows})
+    return fitted(vocabulary, [(r["doc_id"], r["toxic"], dict(zip(r["t"], r["n"], strict=True))) for r in rows], share)
+
+
+def fitted(vocabulary: dict[str, int], rows: list[tuple[int, int, dict[int, int]]], share: float) -> Index:
+    """The index of examples (doc_id, label, counts) with the weight of other words that suits them best, and its calibration."""
     if not rows:
-        return none
+        return Index({}, np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), share)
     toxic = np.array([r[1] for r in rows])
     # Share of documents with the term, as in the labelled rows, not in the evened-out sample.
     weight = np.where(toxic == 1, share / max(1, (toxic == 1).sum()), (1 - share) / max(1, (toxic == 0).sum()))
     frequency = np.zeros(len(vocabulary))
-    for (_, _, t, _), w in zip(rows, weight, strict=True):
-        frequency[[i for i in t if i >= 0]] += w
-    index = Index(vocabulary, np.append(np.log(1 + 1 / np.maximum(frequency, 1e-9)), OTHERS), np.array([r[0] for r in rows]), toxic, share)
-    every = [index.vector(dict(zip(r[2], r[3], strict=True))) for r in rows]
-    index.add(every)
-    some = np.array([len(t) > 1 for t, _ in every])
-    near = [index.nearest(t, w, but=i) if len(t) > 1 else [] for i, (t, w) in enumerate(every)]
-    bare = weight[~some]
-    index.bare = float((bare * toxic[~some]).sum() / bare.sum()) if len(bare) else 0.0
-    if some.any():
-        index.curve = _calibrated(np.array([index.vote(x) for x, y in zip(near, some, strict=True) if y]), toxic[some], weight[some])
-    return index
+    for (_, _, counts), w in zip(rows, weight, strict=True):
+        frequency[[i for i in counts if i >= 0]] += w
+    idf = np.log(1 + 1 / np.maximum(frequency, 1e-9))
+    chosen, least = None, math.inf
+    for others in OTHERS:
+        index = Index(vocabulary, np.append(idf, others), np.zeros(0), np.zeros(0), share)
+        every = [index.vector(counts) for _, _, counts in rows]
+        # Examples of the same weightiest term share blocks, so that a block's bounds are close.
+        heaviest = [int(t[w.argmax()]) for t, w in every]
+        order = sorted(range(len(rows)), key=lambda i: (heaviest[i], rows[i][0]))
+        index.ids, index.toxic = np.array([rows[i][0] for i in order]), toxic[order]
+        every, own = [every[i] for i in order], weight[order]
+        index.add(every)
+        some = np.array([len(t) > 1 for t, _ in every])
+        bare = own[~some]
+        index.bare = float((bare * index.toxic[~some]).sum() / bare.sum()) if len(bare) else 0.0
+        loss = 0.0
+        if some.any():
+            votes = np.array([index.vote(index.nearest(t, w, but=i)) for i, (t, w) in enumerate(every) if len(t) > 1])
+            index.curve = _calibrated(votes, index.toxic[some], own[some])
+            p = np.clip(np.interp(np.round(votes, 9), *index.curve), 1e-9, 1 - 1e-9)
+            loss = -float((own[some] * np.where(index.toxic[some] == 1, np.log(p), np.log(1 - p))).sum())
+        if loss < least:
+            chosen, least = index, loss
+    chosen.opened = 0
+    return chosen
 
 
 def score(docs: DataFrame, index: Index) -> DataFrame:

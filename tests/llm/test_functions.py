@@ -242,6 +242,95 @@ def test_nearest_examples_are_exact():
         assert [(pytest.approx(-x), j) for x, j in want] == index.nearest(*vectors[i], but=i)
 
 
+def test_blocks_are_opened_by_bound_only():
+    """100 kinds of examples, each of words of its own: a search opens the blocks of one kind and a few more."""
+    rng = np.random.default_rng(3)
+    rows = [(i, i % 2, {i // 40 * 2: int(rng.integers(1, 9)), i // 40 * 2 + 1: int(rng.integers(1, 9)), -1: 20}) for i in range(4000)]
+    index = toxicity.fitted({f"t{i}": i for i in range(200)}, rows, 0.5)
+    blocks = index.tops.shape[1]
+    assert index.opened == 0 and blocks == 250
+    for kind in range(0, 100, 7):
+        before = index.opened
+        near = index.nearest(*index.vector({2 * kind: 3, 2 * kind + 1: 3, -1: 20}))
+        assert len(near) == toxicity.NEIGHBOURS and {int(index.ids[i]) // 40 for _, i in near} == {kind}
+        assert index.opened - before <= 12
+
+
+def plain_score(examples, share, text):
+    """Score of a text by the definition: dictionaries, all cosines, the same votes and curve."""
+    import math
+    from collections import Counter
+
+    n1, n0 = (sum(y == k for _, y, _ in examples) for k in (1, 0))
+    terms = {i: set(toxicity.counted(t)) for i, _, t in examples}
+    vocabulary = []
+    for term in sorted(set().union(*terms.values())):
+        a, b = (sum(term in terms[i] for i, y, _ in examples if y == k) for k in (1, 0))
+        c, d = n1 - a, n0 - b
+        below = (a + b) * (c + d) * n1 * n0
+        if below and a + b >= toxicity.LEAST_TEXTS and (n1 + n0) * (a * d - b * c) ** 2 / below >= toxicity.LEAST_CHI:
+            vocabulary.append(term)
+    weight = {i: share / n1 if y else (1 - share) / n0 for i, y, _ in examples}
+    idf = {t: math.log(1 + 1 / max(sum(weight[i] for i in weight if t in terms[i]), 1e-9)) for t in vocabulary}
+
+    def vector(text, others):
+        own = {t: n for t, n in toxicity.counted(text).items() if t in idf}
+        total = sum(Counter(toxicity._LETTERS((text or "").lower())).values())
+        v = {t: math.sqrt(n / total) * idf[t] for t, n in own.items()}
+        v[None] = others  # all there is in a text without terms
+        length = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / length for t, x in v.items()}
+
+    def vote(v, but, others, vectors):
+        near = sorted((-round(sum(x * vectors[i].get(t, 0) for t, x in v.items()), 12), i, y) for i, y, _ in examples if i != but)
+        got = [0.0, 0.0]
+        for s, _, y in [x for x in near if x[0] < 0][: toxicity.NEIGHBOURS]:
+            got[y] += (share / n1 if y else (1 - share) / n0) / (1.05 - min(1.0, -s))
+        return got[1] / sum(got) if sum(got) else 0.0
+
+    best = None
+    for others in toxicity.OTHERS:
+        vectors = {i: vector(t, others) for i, _, t in examples}
+        some = [(i, y) for i, y, _ in examples if len(vectors[i]) > 1]
+        votes = np.array([vote(vectors[i], i, others, vectors) for i, _ in some])
+        ys, ws = np.array([y for _, y in some]), np.array([weight[i] for i, _ in some])
+        curve = toxicity._calibrated(votes, ys, ws)
+        p = np.interp(np.round(votes, 9), *curve)
+        loss = -(ws * np.where(ys == 1, np.log(p), np.log(1 - p))).sum()
+        if best is None or loss < best[0] - 1e-12:
+            best = loss, others, vectors, curve
+    _, others, vectors, curve = best
+    v = vector(text, others)
+    if len(v) == 1:
+        bare = [(weight[i], y) for i, y, _ in examples if len(vectors[i]) == 1]
+        return sum(w * y for w, y in bare) / sum(w for w, _ in bare) if bare else 0.0
+    return float(np.interp(round(vote(v, None, others, vectors), 9), *curve))
+
+
+def toxic_texts(rng, n):
+    cues, plain = ["scum", "idiot", "vermin", "pathetic"], [f"plain{chr(97 + i)}" for i in range(26)]
+    out = []
+    for i in range(n):
+        words = list(rng.choice(plain, int(rng.integers(3, 30))))
+        y = int(rng.random() < 0.4)
+        if y:
+            words += list(rng.choice(cues, int(rng.integers(1, 4))))
+        out.append((i, y if rng.random() < 0.95 else 1 - y, " ".join(words)))
+    return out
+
+
+def test_scores_by_definition(spark):
+    rng = np.random.default_rng(6)
+    examples, others = toxic_texts(rng, 160), [(1000 + i, y, t) for i, y, t in toxic_texts(rng, 60)]
+    docs = spark.createDataFrame([(i, t) for i, _, t in examples + others] + [(2000, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, y, _ in examples], "doc_id long, toxic int")
+    index = toxicity.fit(docs, labels, labels["doc_id"] >= 0)
+    share = sum(y for _, y, _ in examples) / len(examples)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, index).collect()}
+    for i, _, t in others[:25] + [(2000, 0, None)]:
+        assert got[i] == pytest.approx(plain_score(examples, share, t), abs=1e-6)
+
+
 def test_substring_definition():
     w = [f"w{i}" for i in range(40)]
     rows = [(2, " ".join(w[:20])), (1, " ".join(w[5:30])), (3, " ".join(w[:12])), (None, " ".join(w))]
