@@ -22,9 +22,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset
+    and the session is a single process, as in tests, a new temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -189,20 +193,6 @@ def unpack_sorted(raw: bytes) -> np.ndarray:
     return np.cumsum(unpack_uints(raw), dtype=np.uint64)
 
 
-def block_of(bounds: list[int], column: str = "doc_id"):
-    """How many of the sorted bounds a column's value reaches, in two steps of about sqrt(n) comparisons."""
-    step = max(1, int(len(bounds) ** 0.5))
-    coarse = bounds[step - 1 :: step]
-    fine = [bounds[i : i + step] for i in range(0, len(bounds), step)] or [[]]
-    if not bounds:
-        return F.lit(0)
-    at = F.size(F.filter(F.lit(coarse), lambda b: b <= F.col(column)))
-    if len(bounds) % step == 0:
-        fine.append([])
-    inner = F.array(*[F.lit(x).cast("array<bigint>") if x else F.expr("cast(array() as array<bigint>)") for x in fine])
-    return at * step + F.size(F.filter(F.get(inner, at), lambda b: b <= F.col(column)))
-
-
 def runs(x: np.ndarray) -> list[tuple[int, int]]:
     """Where each run of equal values begins and ends."""
     if not len(x):

@@ -2,8 +2,9 @@
 chunk by chunk with checksum tests, and a low-frequency cosine-transform hash of it.
 
 Defined cases: a null text is an empty one; an empty text is one row of 64 zero
-samples; equal texts give equal PNGs and hashes; repeated rows stay repeated; an empty
-table gives an empty table. Columns of the input that aren't asked for don't matter,
+samples; a very long text is a taller image, made in a step of its own; equal texts give
+equal PNGs and hashes, and of two filters that suit an image alike the first one is taken;
+repeated rows stay repeated; an empty table gives an empty table. Columns of the input that aren't asked for don't matter,
 whatever their names."""
 
 from __future__ import annotations

@@ -8,8 +8,11 @@ window of a shard can fall short; that one is dealt into lengths that are powers
 which need no padding. A shard is a run of consecutive documents of one input partition,
 closed once it holds SHARD_TOKENS ids, so there is no shuffle and memory is bounded.
 
-Defined cases: a null or empty text is the end id alone; repeated rows are packed each;
-rows with a null doc_id are packed too; an empty table gives none."""
+Defined cases: a null or empty text is the end id alone; a very long text is cut over as
+many windows as it needs; of multisets that fill a window alike the one found first from the
+longest length down is taken; repeated rows are packed each; rows with a null doc_id are
+packed too; an empty table gives none. Other columns of the input, whatever their names, are
+ignored."""
 
 from __future__ import annotations
 
@@ -51,29 +54,17 @@ class Encoder:
         self.whole = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
         self.odd = re.compile(f"[^{PLAIN}]").search
         self.split = re.compile(PIECES).findall
-        self.piece = self._pieces(path, public_tokenizers)
         self.known: dict[str, bytes] = {}
         self.most = most
 
-    def _pieces(self, path, public):
-        """The same merges read as ranks; only for the public vocabulary that has both files."""
-        if path:
-            return lambda p: self.whole.encode(p, add_special_tokens=False).ids
-        import base64
-
-        import tiktoken
-
-        with open(public.path("byte_bpe_50k.tiktoken"), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        return tiktoken.Encoding("ranks", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
     def __call__(self, text: str) -> bytes:
         if SPECIAL in text or self.odd(text):
             return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         pieces = self.split(text)
         known = self.known
-        for p in set(pieces).difference(known):
-            known[p] = array("I", self.piece(p)).tobytes()
+        if new := list(set(pieces).difference(known)):
+            for p, found in zip(new, self.whole.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                known[p] = array("I", found.ids).tobytes()
         out = b"".join([known[p] for p in pieces])
         if len(known) > self.most:
             known.clear()
