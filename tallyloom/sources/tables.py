@@ -61,9 +61,15 @@ def materialise(df: DataFrame, layer: str, name: str) -> DataFrame:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share, under spark.checkpoint.dir; a temporary one where that is unset."""
+    """A new folder that driver and executors share, under spark.checkpoint.dir; a temporary
+    one where that is unset and the session is a single process, as in tests."""
     import tempfile
     import uuid
 
     base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/tallyloom-{uuid.uuid4().hex}" if base else "file://" + tempfile.mkdtemp(prefix="tallyloom-")
+    if base:
+        return f"{base.rstrip('/')}/tallyloom-{uuid.uuid4().hex}"
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="tallyloom-")
