@@ -20,9 +20,9 @@ def normalised(text: str) -> str:
 
 
 def quotes_verbatim(quotes: list[str], sql: str) -> list[str]:
-    """The quotes that the text doesn't contain, white space and case aside."""
+    """The quotes that the text doesn't contain, white space and case aside; an empty one quotes nothing."""
     whole = normalised(sql)
-    return [q for q in quotes if normalised(q) not in whole]
+    return [q for q in quotes if not normalised(q) or normalised(q) not in whole]
 
 
 def classify_filters(spark: SparkSession, graph: Graph, t: Trace, claims: list[dict]) -> list[dict]:
@@ -56,13 +56,14 @@ def compare_sources(claimed: list[str], t: Trace) -> tuple[list[str], list[str]]
     return missing, extra
 
 
+#: Grades from the best down: most sources missed and made up, least coverage, most failed quotes and suspect filters.
+GRADES = (("high", 0, 0, 0.999, 0, 0), ("medium", 0, 1, 0.8, 0, 1))
+
+
 def confidence(missing: list[str], extra: list[str], covered: float, quote_failures: int, suspects: int) -> str:
-    """high, medium or low."""
-    if not missing and not extra and covered >= 0.999 and not quote_failures and not suspects:
-        return "high"
-    if not missing and len(extra) <= 1 and covered >= 0.8 and not quote_failures and suspects <= 1:
-        return "medium"
-    return "low"
+    """The first grade whose limits a claim keeps, else low."""
+    kept = (g for g, missed, made_up, least, failed, odd in GRADES if len(missing) <= missed and len(extra) <= made_up and covered >= least and quote_failures <= failed and suspects <= odd)
+    return next(kept, "low")
 
 
 def free_text(text: str, graph: Graph, t: Trace, allowed: set[str] = frozenset({"100"})) -> list[str]:

@@ -52,7 +52,7 @@ def metric_rows(graph: Graph, skip: Iterable[str] = (), layers: Iterable[str] =
                 continue
             chain = [graph.facts[e["model"]] for e in t.expr_chain]
             grain = next((x.grain for x in chain if x.grain), [])
-            signature = sorted({a for e in t.expr_chain for a in re.findall(r"\b(sum|avg|min|max|min_by|max_by)\(", e["expr"])} | {"count:distinct" for e in t.expr_chain if "count(distinct" in e["expr"]} | {"rowcount" for e in t.expr_chain if "count(*)" in e["expr"]})
+            signature = sorted({a for e in t.expr_chain for a in re.findall(r"\b(sum|avg|min|max|min_by|max_by)\(", e["expr"])} | {"count:distinct" for e in t.expr_chain if "count(distinct" in e["expr"]} | {"count" for e in t.expr_chain if re.search(r"\bcount\((?!\*|distinct)", e["expr"])} | {"rowcount" for e in t.expr_chain if "count(*)" in e["expr"]})
             prints = sorted({x["fp"] for x in t.conditions if not x["is_pure_key"]})
             base = re.sub(r"_(1d|7d|14d|30d|total|cnt|sum)$", "", c)
             lineal = sorted({x for x in t.models if x != m})
@@ -72,7 +72,9 @@ def pairs(metrics: DataFrame, cap: int = PAIR_CAP) -> DataFrame:
     both = both.filter(~F.array_contains("a_lineal", F.col("b_model")) & ~F.array_contains("b_lineal", F.col("a_model")))
     full = lambda c: (F.size(f"a_{c}") > 0) & (F.size(f"b_{c}") > 0)
     differ = lambda c: F.concat_ws(",", f"a_{c}") != F.concat_ws(",", f"b_{c}")
-    averages = (F.array_contains("a_aggregates", "avg") & F.array_contains("b_aggregates", "sum")) | (F.array_contains("b_aggregates", "avg") & F.array_contains("a_aggregates", "sum"))
+    # an average, and the sum and count that one can be made of
+    parts = lambda c: F.array_contains(c, "sum") & F.arrays_overlap(c, F.array(*map(F.lit, ("count", "count:distinct", "rowcount"))))
+    averages = (F.array_contains("a_aggregates", "avg") & parts("b_aggregates")) | (F.array_contains("b_aggregates", "avg") & parts("a_aggregates"))
     tier = (
         F.when(full("aggregates") & differ("aggregates"), F.when(averages, "candidate").otherwise("agg_distinct"))
         .when(differ("risk"), "row_mismatch")

@@ -109,6 +109,50 @@ _QUOTED = re.compile(r"'(?:[^'\\]|\\.|'')*'")
 _QUALIFIER = re.compile(r"\b[a-z_]\w*\.(?=[a-z_])")
 
 
+_SUBQUERIES = frozenset(("Exists", "ScalarSubquery", "ListQuery", "InSubquery", "LateralSubquery", "DynamicPruningSubquery"))
+
+
+def subqueries(j: Any) -> list:
+    """The parsed plans inside an expression."""
+    own = [j.plan()] if kind(j) in _SUBQUERIES - {"InSubquery"} else []
+    if kind(j) == "InSubquery":
+        own = [j.query().plan()]
+    return own + [x for c in items(j.children()) for x in subqueries(c)]
+
+
+def relations(spark: SparkSession, sql: str) -> set[str]:
+    """Last parts of the names of all relations that a text reads, its own CTEs aside."""
+    found: set[str] = set()
+
+    def visit(p: Any, own: frozenset) -> None:
+        if kind(p) == "UnresolvedWith":
+            for t in items(p.cteRelations()):
+                visit(t._2(), own)
+                own = own | {t._1()}
+        elif kind(p) == "UnresolvedRelation" and (name := items(p.multipartIdentifier())[-1]) not in own:
+            found.add(name)
+        for e in items(p.expressions()):
+            for q in subqueries(e):
+                visit(q, own)
+        for c in items(p.children()):
+            visit(c, own)
+
+    try:
+        visit(parsed(spark, sql), frozenset())
+    except ParseException:
+        return set()
+    return found
+
+
+_PLAN_MARKS = re.compile(r"[:+|'\s-]*\n[:+|'\s-]*|#\d+L?|'(?=[A-Za-z])")
+
+
+def written(j: Any) -> str:
+    """An expression as text, with the plans of its sub-queries, which Spark's own text leaves out."""
+    bodies = [_PLAN_MARKS.sub(lambda m: " < " if "\n" in m.group() else "", p.toString().strip()).strip(" <") for p in subqueries(j)]
+    return " ".join([j.sql(), *(f"[{b}]" for b in bodies)])
+
+
 def normal(j: Any) -> str:
     """A predicate's text for comparison: literals right, no qualifiers, lower case but in
     quotes, IS NOT NULL for NOT IS NULL, lists of IN sorted."""
@@ -131,7 +175,7 @@ def normal(j: Any) -> str:
         return f"{normal(first)} in ({', '.join(sorted(normal(x) for x in rest))})"
     if k in ("IsNull", "IsNotNull"):
         return f"{normal(items(j.children())[0])} is {'not ' * (k == 'IsNotNull')}null"
-    text = " ".join(j.sql().replace("`", "").split())
+    text = " ".join(written(j).replace("`", "").split())
     while text.startswith("(") and text.endswith(")") and _closes(text):
         text = text[1:-1]
     out, at = [], 0

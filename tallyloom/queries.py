@@ -567,6 +567,62 @@ def formulas_proven(spark, sf):
     return g.spark.createDataFrame([(len(found), found.count("proven"))], "columns_n bigint, proven bigint")
 
 
+#: Small definitions with a case each: values of either side of a join, unions, sub-queries as conditions, a part that can't be told.
+CASES = {
+    "sides": "select a.x, s.v, t.w from raw_a a left join (select id, v from raw_b where flag = 1) s on a.id = s.id and s.v > 3 left join (select id, v as w from raw_b where flag = 2) t on a.id = t.id",
+    "joined": "select a.x from raw_a a join raw_b b on a.id = b.id and b.flag = 4 where a.k > 0",
+    "both": "select x as y from raw_a union all select v * 2 from raw_b",
+    "total": "select sum(y) as s from both",
+    "among": "select x from raw_a a where exists (select 1 from raw_b b where b.id = a.id and b.flag = 1)",
+    "among_others": "select x from raw_a a where exists (select 1 from raw_b b where b.id = a.id and b.flag = 2)",
+    "again": "select id, x from raw_a a where k = 1 and exists (select 1 from raw_b b where b.id = a.id and b.flag = 1)",
+    "highest": "select x - (select max(v) from raw_b) as d from raw_a",
+}
+CASE_SOURCES = {"raw_a": "id int, x int, k int, flag int", "raw_b": "id int, v int, flag int"}
+
+
+def _cases(spark: SparkSession):
+    from tallyloom.plans.lineage import build_graph
+    from tallyloom.warehouse.models import Model
+
+    return build_graph(spark.newSession(), [Model(k, "", v) for k, v in CASES.items()], CASE_SOURCES)
+
+
+@define("""SELECT * FROM (VALUES ('sides.v', 'id = id'), ('sides.v', 'v > 3'), ('sides.v', 'flag = 1'), ('sides.w', 'id = id'), ('sides.w', 'flag = 2'),
+('joined.x', 'id = id'), ('joined.x', 'flag = 4'), ('joined.x', 'k > 0')) t(target, norm)""")
+def trace_conditions(spark, sf):
+    """Conditions by the value they bind: each side of a join has its own, the preserved side none."""
+    from tallyloom.plans.trace import trace
+
+    g = _cases(spark)
+    return g.spark.createDataFrame([(t, c["norm"]) for t in ("sides.x", "sides.v", "sides.w", "joined.x") for c in trace(g, t).conditions], "target string, norm string")
+
+
+@define("SELECT * FROM (VALUES ('both.y', 'proven', 'union(1: raw_a.x; 2: (raw_b.v * 2))', 'raw_a.x,raw_b.v')) t(target, status, formula, leaves)")
+def union_formula(spark, sf):
+    from tallyloom.plans.formula import compose
+
+    g = _cases(spark)
+    f = compose(g, "both.y")
+    return g.spark.createDataFrame([("both.y", f.status, f.top, ",".join(f.leaves))], "target string, status string, formula string, leaves string")
+
+
+@define("SELECT * FROM (VALUES ('highest.d', 'ambiguous'), ('among.x', 'proven'), ('total.s', 'proven')) t(target, status)")
+def refused_formula(spark, sf):
+    from tallyloom.plans.formula import compose
+
+    g = _cases(spark)
+    return g.spark.createDataFrame([(t, compose(g, t).status) for t in ("highest.d", "among.x", "total.s")], "target string, status string")
+
+
+@define("SELECT * FROM (VALUES ('again', 'among')) t(a, b)")
+def condition_fingerprints(spark, sf):
+    """Models that share an EXISTS condition: those whose sub-queries say the same."""
+    g = _cases(spark)
+    c = g.conditions().filter("sql like 'EXISTS%' or sql like 'exists%'").select("model", "fp").distinct()
+    return c.select(F.col("model").alias("a"), "fp").join(c.select(F.col("model").alias("b"), "fp"), "fp").filter("a < b").select("a", "b")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

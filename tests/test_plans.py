@@ -164,7 +164,9 @@ def tiers(own, more, **kw):
 def test_tiers(own):
     x, y = M("x", "select dt, sum(amount) as rev from a group by dt"), M("y", "select dt, sum(amount) as rev from a group by dt")
     assert tiers(own, [x, y]) == {("x.rev", "y.rev"): "duplicate"}
-    assert tiers(own, [x, M("y", "select dt, avg(amount) as rev from a group by dt")]) == {("x.rev", "y.rev"): "candidate"}
+    assert tiers(own, [x, M("y", "select dt, avg(amount) as rev from a group by dt")]) == {("x.rev", "y.rev"): "agg_distinct"}
+    ratio = M("x", "select dt, sum(amount) / count(amount) as rev from a group by dt")
+    assert tiers(own, [ratio, M("y", "select dt, avg(amount) as rev from a group by dt")]) == {("x.rev", "y.rev"): "candidate"}
     assert tiers(own, [x, M("y", "select dt, max(amount) as rev from a group by dt")]) == {("x.rev", "y.rev"): "agg_distinct"}
     assert tiers(own, [x, M("y", "select id, sum(amount) as rev from a group by id")]) == {("x.rev", "y.rev"): "family"}
     assert tiers(own, [x, M("y", "select dt, sum(amount) as other from a group by dt")]) == {("x.rev", "y.other"): "candidate"}
@@ -258,3 +260,51 @@ def test_configuration():
     for bad in ({"metrics": [{"key": "A b", "target": "m.c"}]}, {"metrics": [{"key": "a"}]}, {"metrics": [{"key": "index", "target": "m.c"}]}, {"metrics": [{"key": "a", "target": "m.c"}] * 2}, {"metrics": [{"key": "a", "target": "c"}]}, {"metrics": {}}, {"governance": {"skip_columns": "x"}}):
         with pytest.raises(ValueError):
             checked_config(bad)
+
+
+TWO = {"raw_a": "id int, x int, k int, flag int", "raw_b": "id int, v int, x int, flag int"}
+
+
+def test_a_union_shows_all_its_inputs(own):
+    g = build_graph(own, [M("u", "select x as y from raw_a union all select v * 2 from raw_b"), M("same", "select x from raw_a union all select x from raw_b"), M("total", "select sum(y) as s from u")], TWO)
+    f = formula.compose(g, "u.y")
+    assert (f.status, f.top, f.leaves) == ("proven", "union(1: raw_a.x; 2: (raw_b.v * 2))", ["raw_a.x", "raw_b.v"])
+    assert formula.compose(g, "same.x").top == "union(1: raw_a.x; 2: raw_b.x)"
+    assert "raw_b.v * 2" in formula.compose(g, "total.s").top
+
+
+def test_conditions_belong_to_the_values_they_bind(own):
+    g = graph(own, """select a.x, s.v, t.w from raw_a a
+        left join (select id, v from raw_b where flag = 1) s on a.id = s.id and s.v > 3
+        left join (select id, v as w from raw_b where flag = 2) t on a.id = t.id""", TWO)
+    norms = lambda c: {x["norm"] for x in trace(g, f"m.{c}").conditions}
+    assert norms("x") == set() and norms("v") == {"id = id", "v > 3", "flag = 1"} and norms("w") == {"id = id", "flag = 2"}
+
+
+def test_inner_names_are_put_in(own):
+    g = graph(own, "with p as (select id, x * 2 as y from raw_a where k = 1), q as (select id, sum(y) as z from p group by id) select z / 3 as r from q", TWO)
+    assert formula.compose(g, "m.r").top == "(sum((raw_a.x * 2)) / 3)"
+
+
+def test_bodies_of_sub_queries_tell_conditions_apart(own):
+    q = "select x from raw_a a where exists (select 1 from raw_b b where b.id = a.id and b.flag = {})"
+    g = build_graph(own, [M("e1", q.format(1)), M("e2", q.format(2)), M("e3", "select id, x\nfrom raw_a  a  where k = 0 and exists (select 1 from raw_b b where b.id = a.id and b.flag = 1)")], TWO)
+    prints = {m: {c["fp"] for c in g.facts[m].conditions} for m in ("e1", "e2", "e3")}
+    assert not prints["e1"] & prints["e2"] and prints["e1"] < prints["e3"]
+
+
+def test_too_many_parts_are_refused(own, monkeypatch):
+    monkeypatch.setattr(formula, "MAX_DEFS", 1)
+    monkeypatch.setattr(formula, "INLINE_MAX", 10)
+    g = build_graph(own, [M("p", "select id, sum(x) as y, max(x) as z from raw_a group by id"), M("m", "select sum(y) / sum(z) as r from p")], TWO)
+    f = formula.compose(g, "m.r")
+    assert f.status == "unsupported" and "named parts" in f.reasons[0]
+
+
+def test_order_follows_what_is_read_not_words(own):
+    g = build_graph(own, [M("late", "select y as early from early"), M("early", "select x as y, 'late' as late from raw_a -- late")], TWO)
+    assert not g.errors and g.facts["late"].columns == [("early", "int")]
+
+
+def test_an_empty_quote_is_no_quote():
+    assert evidence.quotes_verbatim(["", "  ", "select"], "SELECT 1") == ["", "  "]
