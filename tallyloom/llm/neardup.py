@@ -343,11 +343,12 @@ def labelled(docs: DataFrame, k: int = SHINGLE, least: int = LEAST, trees: int =
     # From here on nodes of one component end.
     rooted = cut(classes.join(found, "key", "left").select("key", "tokens", F.coalesce("root", "key").alias("root")))
     drop_cut(classes)
-    again = cut(inside.filter("not small").select("path", "key").join(rooted.select("key", "root"), "key").select("path", "key", "root"))
-    drop_cut(inside)
-    leaves = _walked(again, rooted, leaf, least, tokens, depth)
-    if trees > early:
-        leaves += _walked(_planted(rooted, range(early, trees), least, tokens), rooted, leaf, least, tokens, depth)
+    live = inside.filter("not small").select("path", "key").join(rooted.select("key", "root"), "key").select("path", "key", "root")
+    planted = _planted(rooted, range(early, trees), least, tokens) if trees > early else None
+    live = cut(live.unionByName(planted) if planted is not None else live)
+    for done in (inside, *([planted] if planted is not None else [])):
+        drop_cut(done)
+    leaves = _walked(live, rooted, leaf, least, tokens, depth)
     links = _linked(_union(leaves), rooted, docs, signed, k, least, tokens)
     drop_cut(rooted)
     found = components(links, found)
@@ -382,6 +383,21 @@ def kept_documents(docs: DataFrame, **settings) -> DataFrame:
     return clean.unionByName(one).select("own.*")
 
 
+#: The query's result from plain SQL, where doc_id is unique.
+ORACLE = f"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []) AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + {SHINGLE - 1}], ' ') AS shingle FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {SHINGLE - 2})) AS i FROM w)
+  UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND {SHINGLE - 1}),
+n AS (SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * shared >= {LEAST} * (x.size + y.size - shared)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT w.doc_id, CAST(coalesce(size, 0) AS BIGINT) AS n_shingles, component_id, w.doc_id = component_id AS kept
+FROM w LEFT JOIN n ON w.doc_id = n.doc_id JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) ON w.doc_id = a
+"""
+
+
 def brute_force(rows: list[tuple[int | None, str | None]], k: int = SHINGLE, least: int = LEAST) -> list[tuple[int | None, int, int | None]]:
     """(doc_id, size of the set, component) by the definition; for tests."""
     sets = []

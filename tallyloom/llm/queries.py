@@ -78,6 +78,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from tallyloom.llm import search
+    from tallyloom.llm import neardup, search, substrings
 
-    return {"op6_search": search.ORACLE}
+    return {"op6_search": search.ORACLE, "op9_substrings": substrings.ORACLE, "op10_neardup": neardup.ORACLE}

@@ -369,7 +369,20 @@ def remove_repeats(docs: DataFrame, k: int = K, block_bytes: int = BLOCK_BYTES,
 
 
 def digests(removed: DataFrame) -> DataFrame:
-    return removed.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), F.size("spans").alias("n_spans"))
+    return removed.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+#: The digests from plain SQL, where doc_id is unique.
+ORACLE = f"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS ws FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(ws[i : i + {K - 1}], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {K - 2})) AS i FROM w)),
+firsts AS (SELECT win, min(doc_id) AS least FROM windows GROUP BY win HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM windows JOIN firsts USING (win), range({K}) r(k) WHERE least < doc_id),
+each AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+left_over AS (SELECT each.doc_id, string_agg(word, ' ' ORDER BY each.p) AS kept, count(*) AS n FROM each LEFT JOIN gone ON each.doc_id = gone.doc_id AND each.p = gone.p WHERE gone.p IS NULL GROUP BY 1)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN left_over ON w.doc_id = left_over.doc_id
+"""
 
 
 def brute_force(rows: list[tuple[int | None, str | None]], k: int = K) -> list[tuple[int | None, int, int, str]]:
