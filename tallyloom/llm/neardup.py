@@ -214,6 +214,14 @@ def links_in(keys: list[bytes], sets: list[np.ndarray], least: int) -> list[tupl
     return [(keys[find(i)], keys[i]) for i in range(n) if find(i) != i]
 
 
+def _agreement(some: np.ndarray, every: np.ndarray) -> np.ndarray:
+    """How many tokens each of some rows has in common with each of many, position by position."""
+    out = np.zeros((len(some), len(every)), np.int16)
+    for a, b in zip(some.T, np.ascontiguousarray(every.T), strict=True):
+        out += a[:, None] == b[None]
+    return out
+
+
 def _agreeing(least: int, tokens: int) -> Callable[[tuple, pa.Table], pa.Table]:
     """Members of leaves whose tokens agree with those of a member of another component as
     often as similar sets' do, less 4.5 standard deviations."""
@@ -232,9 +240,7 @@ def _agreeing(least: int, tokens: int) -> Callable[[tuple, pa.Table], pa.Table]:
             lookers = rows[roots[rows] != own[often.argmax()]]
             for at in range(0, len(lookers), 64):  # some rows against all at a time
                 some = lookers[at : at + 64]
-                agree = np.zeros((len(some), len(rows)), np.int16)
-                for t in range(tokens):
-                    agree += signs[some, t][:, None] == signs[rows, t][None]
+                agree = (signs[some][:, None] == signs[rows][None]).sum(axis=2) if len(rows) <= 64 else _agreement(signs[some], signs[rows])
                 match = (agree >= enough) & (roots[some][:, None] != roots[rows][None])
                 keep[some] |= match.any(axis=1)
                 keep[rows] |= match.any(axis=0)
