@@ -367,7 +367,8 @@ def near_duplicates(docs: DataFrame, **settings) -> DataFrame:
     """doc_id, n_shingles, class_key and component_id of every row."""
     rows = cut(labelled(docs, **settings))
     # Rows without words have no root: each is a component of its own.
-    ids = rows.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component"))
+    # Written first, so that adaptive execution can split the join at a component of many rows.
+    ids = cut(rows.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component")))
     out = rows.join(ids, "root", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("key").alias("class_key"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
@@ -378,7 +379,7 @@ def kept_documents(docs: DataFrame, **settings) -> DataFrame:
     of rows with equal doc_id and text one stays. Rows without words stay all."""
     rows = cut(labelled(docs, **settings).filter("root is not null").groupBy("root", "doc_id", "mark").agg(F.count(F.lit(1)).alias("copies")))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
-    first = rows.groupBy("root").agg(F.min(order).alias("first"))
+    first = cut(rows.groupBy("root").agg(F.min(order).alias("first")))
     judged = rows.join(first, "root").withColumn("stays", order == F.col("first"))
     # The rest: rows that go, and rows of which one copy stays.
     some = judged.filter("not stays or copies > 1").groupBy(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "mark").agg(F.max("stays").alias("stays"))
