@@ -17,7 +17,7 @@ ignored."""
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +38,23 @@ PIECES = f""" ?[{LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^{WHITE}{LETTERS}0-
 SPECIAL = "<|endoftext|>"
 
 
+class _Pieces(dict):
+    """Ids of pieces, each made when it is first asked for."""
+
+    def __init__(self, ids_of: Callable[[str], list[int]]):
+        self.ids_of = ids_of
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self[piece] = array("I", self.ids_of(piece)).tobytes()
+        return found
+
+
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes. The merges of a piece between two splits
     depend on nothing else, so each distinct piece is tokenized once (within a bounded
     cache); texts with other characters go to the tokenizer whole."""
 
-    def __init__(self, path: str | None = None, most: int = 400_000):
+    def __init__(self, path: str | None = None, most: int = 600_000):
         import os
         import re
 
@@ -54,20 +65,30 @@ class Encoder:
         self.whole = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
         self.odd = re.compile(f"[^{PLAIN}]").search
         self.split = re.compile(PIECES).findall
-        self.known: dict[str, bytes] = {}
+        self.piece = self._pieces(path, public_tokenizers)
+        self.known = _Pieces(self.piece)
         self.most = most
 
+    def _pieces(self, path, public):
+        """The same merges read as ranks, by a reader that takes less than half the time for a
+        piece; only for the public vocabulary that has both files. Tests hold the ids against
+        the tokenizer's on any text."""
+        if path:
+            return lambda p: self.whole.encode(p, add_special_tokens=False).ids
+        import base64
+
+        import tiktoken
+
+        with open(public.path("byte_bpe_50k.tiktoken"), "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        return tiktoken.Encoding("ranks", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
     def __call__(self, text: str) -> bytes:
         if SPECIAL in text or self.odd(text):
             return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
-        pieces = self.split(text)
-        known = self.known
-        if new := list(set(pieces).difference(known)):
-            for p, found in zip(new, self.whole.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[p] = array("I", found.ids).tobytes()
-        out = b"".join([known[p] for p in pieces])
-        if len(known) > self.most:
-            known.clear()
+        out = b"".join(map(self.known.__getitem__, self.split(text)))
+        if len(self.known) > self.most:
+            self.known.clear()
         return out
 
 
