@@ -68,11 +68,12 @@ def epoch(column: str) -> Column:
 
 
 def top_share(df: DataFrame, dim: str, measure: str, k: int = 30) -> DataFrame:
-    """The k values of dim with the largest measure and their share of the total over all values."""
-    sums = df.groupBy(dim).agg(money(measure).alias(measure))
-    total = df.agg(money(measure).alias("_total"))
-    top = sums.orderBy(F.desc(measure), F.asc_nulls_last(dim)).limit(k)
-    return top.join(F.broadcast(total)).select(dim, measure, ratio(F.col(measure), F.col("_total")).alias("share"))
+    """The k values of dim with the largest measure and their share of the total over all
+    values. The total adds up the sums by value, so the input is read and shuffled once."""
+    sums = df.groupBy(dim).agg(F.sum(F.col(measure).cast("decimal(18,4)")).alias("_sum"))
+    total = sums.agg(F.sum("_sum").alias("_total"))
+    top = sums.orderBy(F.desc("_sum"), F.asc_nulls_last(dim)).limit(k)
+    return top.join(F.broadcast(total)).select(dim, F.col("_sum").cast("double").alias(measure), ratio(F.col("_sum").cast("double"), F.col("_total").cast("double")).alias("share"))
 
 
 def delta(now: Column, before: Column) -> Column:
