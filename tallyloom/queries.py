@@ -537,8 +537,10 @@ def lineage_semantics(spark, sf):
     return _graph(spark).semantics().select("model", "type", "column")
 
 
-@define("SELECT 'app_business_overview_1d.refund_amt_total' AS a, 'dm_trade_stats_1d.refund_amt' AS b, 'duplicate' AS tier")
+@define("""SELECT * FROM (VALUES ('app_business_overview_1d.refund_amt_total', 'dm_trade_stats_1d.refund_amt', 'duplicate'),
+('dm_after_sale_stats_1d.refund_amt_total', 'dm_trade_stats_1d.refund_amt', 'duplicate')) t(a, b, tier)""")
 def governance_duplicates(spark, sf):
+    """The refund amount that is built twice (trap T8), and the wide table's copy of one of the two."""
     from tallyloom.plans import governance
 
     g = _graph(spark, "warehouse")
